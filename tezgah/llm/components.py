@@ -43,7 +43,8 @@ def template_key(column: str) -> F.Column:
     k = _plain(F.col(column))
     base = F.regexp_replace(F.regexp_extract(k, r"^(.*?)[^\p{L}\p{N}]*[0-9]+[^\p{L}\p{N}]*$", 1), r"[^\p{L}\p{N}]", "")
     number = F.regexp_extract(k, r"([0-9]+)[^\p{L}\p{N}]*$", 1)
-    return F.when((base == "") | (number == "") | base.isin(STAND_INS), None).otherwise(F.concat_ws(".", base, F.regexp_replace(number, r"^0+(?=.)", "")))
+    stated = (base != "") & (number != "") & ~base.isin(STAND_INS)
+    return F.when(stated, F.concat_ws(".", base, F.regexp_replace(number, r"^0+(?=.)", "")))
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:

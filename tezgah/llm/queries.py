@@ -7,13 +7,73 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tezgah.llm import leak, repetition
+from tezgah.llm import chunks, components, leak, near_dup, packing, quota, repetition
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "queries").select(F.col("_id").alias("id"), "text")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_dup.near_duplicates(_records(spark, d))
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row per query and text class: its group, links and copies, and in how many templates the group's families stand."""
+    groups = near_dup.near_duplicate_groups(_records(spark, d)).withColumnRenamed("id", "_id")
+    template = _read(spark, d, "families").groupBy(F.col("family_id").alias("_id")).agg(F.max(components.template_key("template_id")).alias("template_key"))
+    x = groups.join(template, "_id", "left")
+    per = x.groupBy("group_id").agg(F.countDistinct("_id").alias("group_queries"), F.countDistinct("template_key").alias("group_templates"))
+    return x.join(per, "group_id").select("_id", F.col("cls").alias("class_id"), "group_id", "links", "members", "template_key", "group_queries", "group_templates")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return quota.quota_sample(_read(spark, d, "slots"), _read(spark, d, "quota_targets"))[1].where("short").select("axis", "category")
+
+
+def p3_sample(spark: SparkSession, d: str) -> DataFrame:
+    return quota.quota_sample(_read(spark, d, "slots"), _read(spark, d, "quota_targets"))[0]
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    return quota.quota_sample(_read(spark, d, "slots"), _read(spark, d, "quota_targets"))[1]
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = chunks.split_overlaps(_read(spark, d, "queries"), _read(spark, d, "families"))
+    return pairs.select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b")).distinct()
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.overlap_report(_read(spark, d, "queries"), _read(spark, d, "families"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return components.broken(_read(spark, d, "families")).select("family_id")
+
+
+def p5_assignment(spark: SparkSession, d: str) -> DataFrame:
+    return components.assign_splits(_read(spark, d, "families"), _read(spark, d, "split_targets"))
+
+
+def p5_balance(spark: SparkSession, d: str) -> DataFrame:
+    targets = _read(spark, d, "split_targets")
+    return components.balance(components.assign_splits(_read(spark, d, "families"), targets), targets)
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(_read(spark, d, "documents"), _read(spark, d, "pack_specs"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    specs = _read(spark, d, "pack_specs")
+    return packing.fill(packing.containers(_read(spark, d, "documents"), specs), specs)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leak.leaks(_read(spark, d, "documents"), _read(spark, d, "heldout_items")).select("doc_id", "item_id").distinct()
 
@@ -34,8 +94,41 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p7_found, p7_leaks_by_item, p8_found, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_sample, p3_report, p4_found, p4_report, p5_found, p5_assignment, p5_balance, p6_containers, p6_fill, p7_found, p7_leaks_by_item, p8_found, p8_shares)}
+
+
+_KEY = "nullif(lower(regexp_replace({}, '[^A-Za-z0-9]', '', 'g')), '')"
+_P3 = """
+with n as (select cast(floor(0.25 * count(distinct slot_id)) as bigint) as n from slots),
+have as (
+  {have}
+)
+select q.axis, q.category
+from (select distinct axis, category, target_share, min_rows from quota_targets) q cross join n
+left join have h on h.axis = q.axis and h.k = {key}
+where coalesce(h.supply, 0) < greatest(q.min_rows, floor(q.target_share * n.n))
+"""
+_P5 = """
+with recursive keyed as (
+  select distinct family_id,
+    case lower(trim(split_name)) when 'train' then 'train' when 'development' then 'development' when 'dev' then 'development'
+      when 'sealed_test' then 'sealed_test' when 'test' then 'sealed_test' end as split,
+    nullif(regexp_replace(strip_accents(lower(translate(critical_lemma, 'Iİı', 'iii'))), '[^a-z0-9]', '', 'g'), '') as l0,
+    strip_accents(lower(translate(template_id, 'Iİı', 'iii'))) as t0
+  from families where family_id is not null),
+keys as (
+  select family_id, 'l' || regexp_replace(l0, '(..)m[ae]k$', '\\1') as k from keyed where l0 not in ('na', 'none', 'null', 'nan', 'bilinmiyor', 'unknown', 'yok', 'belirsiz', 'undefined')
+  union
+  select family_id, 't' || regexp_replace(regexp_extract(t0, '^(.*?)[^a-z0-9]*[0-9]+[^a-z0-9]*$', 1), '[^a-z0-9]', '', 'g') || '.' || cast(regexp_extract(t0, '([0-9]+)[^a-z0-9]*$', 1) as bigint)
+  from keyed where regexp_matches(t0, '^[a-z].*[0-9]+[^a-z0-9]*$')),
+ties as (select distinct a.family_id as a, b.family_id as b from keys a join keys b using (k)),
+reach(a, b) as (select a, b from ties union select r.a, t.b from reach r join ties t on r.b = t.a)
+select distinct x.family_id from keyed x join reach r on r.a = x.family_id join keyed y on y.family_id = r.b
+where x.split is not null and y.split is not null and x.split <> y.split
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    axes = ("target_feature", "domain", "generalization_bucket", "generator_id")
+    have = " union all ".join(f"select '{a}' as axis, {_KEY.format(a)} as k, count(distinct slot_id) as supply from slots where slot_id is not null group by 2" for a in axes)
+    return {"p3_found": _P3.format(have=have, key=_KEY.format("q.category")), "p5_found": _P5.replace("\\\\", "\\")}
