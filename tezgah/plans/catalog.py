@@ -6,18 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tezgah.operators import nested
-
-
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    families = nested.nested_objects(spark.read.parquet(f"{d}/families.parquet"), "family_id", "metadata_json", "families")
-    slots = nested.nested_objects(spark.read.parquet(f"{d}/slots.parquet"), "slot_id", "contract_json", "slots")
-    return families.unionByName(slots)
+from tezgah.plans import records, retrieval
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found}
+    return retrieval.QUERIES | records.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return retrieval.SQL | records.SQL
