@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from tezgah.session import written
 
 BUCKETS = 512
+REPORT = "axis string, category string, target_share double, min_rows int, needed bigint, supply bigint, sampled bigint, short boolean, met boolean"
 
 
 def category_key(c: F.Column) -> F.Column:
@@ -136,13 +137,15 @@ def quota_sample(slots: DataFrame, targets: DataFrame, fraction: float = 0.25, s
     spark = slots.sparkSession
     goal = targets.select("axis", "category", category_key(F.col("category")).alias("key"), "target_share", "min_rows").distinct().toPandas()  # a few rows per category
     axes = sorted(set(goal["axis"]))
+    if not axes:
+        return slots.select("slot_id").limit(0), spark.createDataFrame([], REPORT)
     rows = written(latest_slots(slots, axes), "slots")
     known = rows
     for a in axes:
         keys = sorted(k for k in goal[goal["axis"] == a]["key"] if k)
         known = known.withColumn(a, F.when(F.col(a).isin(keys), F.col(a)))
-    cells = known.groupBy(*axes).agg(F.count("*").alias("n")).toPandas() if axes else pd.DataFrame({"n": []})  # at most the product of the axes' categories
-    cells[axes] = cells[axes].astype(object).where(cells[axes].notna(), "") if axes else cells
+    cells = known.groupBy(*axes).agg(F.count("*").alias("n")).toPandas()  # at most the product of the axes' categories
+    cells[axes] = cells[axes].astype(object).where(cells[axes].notna(), "")
     cells = cells.sort_values(axes).reset_index(drop=True)
     total = int(cells["n"].sum())
     n = math.floor(fraction * total)
@@ -172,5 +175,5 @@ def quota_sample(slots: DataFrame, targets: DataFrame, fraction: float = 0.25, s
         needed = max(int(r.min_rows), math.floor(r.target_share * n))
         have, got = int(supply[r.axis].get(r.key, 0)), int(sampled[r.axis].get(r.key, 0))
         out.append((r.axis, r.category, float(r.target_share), int(r.min_rows), needed, have, got, have < needed, got >= needed))
-    report = spark.createDataFrame(out, "axis string, category string, target_share double, min_rows int, needed bigint, supply bigint, sampled bigint, short boolean, met boolean")
+    report = spark.createDataFrame(out, REPORT)
     return sample, report
