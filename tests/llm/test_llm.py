@@ -357,6 +357,23 @@ def test_leaks_in_blocks(spark, vocabulary, monkeypatch):
     assert got == {(i, i) for i in range(8)} | {(50, 2)}
 
 
+def test_sentences():
+    f = leak.sentences
+    assert f("Şubat ayının 13. günü geldi. Saat 10.15'te “gitti.” Sonra bitti!") == ["Şubat ayının 13. günü geldi.", "Saat 10.15'te “gitti.”", "Sonra bitti!"]
+    assert f("bir. iki üç.") == ["bir.", "iki üç."] and f("  ") == [] and f("Tek") == ["Tek"]
+
+
+def test_one_whole_sentence_and_a_common_frame(spark, vocabulary):
+    """A sentence that is more than half of the item is a case; a frame of frequent words that many sentences share is none."""
+    r = random.Random(21)
+    frame = lambda: f"{sentence(r, vocabulary, 2)[:-1]} şubat ayının {r.randrange(1, 29)}. günü ne {r.choice(vocabulary)} ne de {r.choice(vocabulary)} {r.choice(vocabulary)} {r.choice(vocabulary)}."
+    long, short = sentence(r, vocabulary, 13), sentence(r, vocabulary, 9)
+    items = [(1, f"{long} {short}"), (2, "Berber rıza şubat ayının 3. günü ne fırçayı ne de eğri tahtamızı köyde inceledi.")]
+    docs = [(i, " ".join(frame() for _ in range(12))) for i in range(300)] + [(900, f"{frame()} {long} {frame()}"), (901, f"{frame()} {short} {frame()}")]
+    got = {(x["doc_id"], x["item_id"]) for x in leak.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {(900, 1)}
+
+
 def test_near_words():
     assert leak.near("kitaplar", "kiatplar") and leak.near("kitap", "kita") and not leak.near("kitap", "masa") and not leak.near("ev", "eh") and not leak.near("12345", "12346")
 

@@ -36,6 +36,9 @@ READ = 0.8
 #: How far adjusted positions may differ within a sentence: words inserted or left out.
 DRIFT = 3
 MIN_WORDS = 4
+#: Words in a row, unaltered but for slips, that make a passage, and the shares of an item, by weight and in passages, from which on a
+#: document holds it: most of its weight, or as many words as make half of it in passages.
+ROW, BY_WEIGHT, IN_ROWS, ROWS_WEIGHT = 4, 0.55, 0.45, 0.42
 #: Items held in memory at once.
 BLOCK = 2000
 #: An opening sentence that this many items share is an instruction, not part of the passage.
@@ -44,7 +47,11 @@ FOUND = "doc_id bigint, item_id bigint, words int, held int, share double, weigh
 
 
 def sentences(text: str) -> list[str]:
-    return [s for s in re.split(r"(?<=[.!?:])\s+(?=[^\W\d_])", text.strip()) if s]
+    """Cut after a full stop and blanks before a capital; a number's full stop ends none. Texts without capitals are cut before any letter."""
+    text = text.strip()
+    cased = any(c.isupper() for c in text)
+    cuts = [m.end() for m in re.finditer(r"[.!?:][\"'”’)]*\s+(?=[^\W\d_])", text) if not cased or text[m.end()].isupper()]
+    return [s for a, b in zip([0, *cuts], [*cuts, len(text)]) if (s := text[a:b].strip())]
 
 
 @dataclass
@@ -96,10 +103,10 @@ def near(a: str, b: str) -> bool:
     return before[n] <= most
 
 
-def align(item: Item, weight: np.ndarray, w: Words, lo: int, hi: int, pts_i: np.ndarray, pts_p: np.ndarray) -> tuple[int, float, int, int] | None:
+def align(item: Item, weight: np.ndarray, w: Words, lo: int, hi: int, pts_i: np.ndarray, pts_p: np.ndarray) -> tuple[int, float, int, int, int] | None:
     """Longest chain of words in both orders: within a sentence the places drift by at most DRIFT, between sentences any
     text may stand. ``pts_i``, ``pts_p``: places of equal words in the item and the document (words lo to hi of ``w``).
-    Gives words held, their share by weight, and the first and last word of the document used."""
+    Gives words held, their share by weight, the first and last word of the document used, and the words that stand in passages."""
     diag = pts_p - pts_i
     order = np.argsort(pts_p * 4096 + pts_i, kind="stable")
     pts_i, pts_p, diag = pts_i[order], pts_p[order], diag[order]
@@ -144,8 +151,16 @@ def align(item: Item, weight: np.ndarray, w: Words, lo: int, hi: int, pts_i: np.
                     slip.add(i)
                     break
     got = set(held) | slip
+    rows = run = 0
+    for i in range(ends[0] - 2, ends[-1] + 4):  # words in a row
+        if i in got and not (i in held and i - 1 in held and held[i] - held[i - 1] != 1):
+            run += 1
+        else:
+            rows += run if run >= ROW else 0
+            run = int(i in got)
+    rows += run if run >= ROW else 0
     swapped = {i for i in range(1, len(sent) - 1) if i not in got and i - 1 in got and i + 1 in got and held.get(i + 1, -9) - held.get(i - 1, 0) == 2 and weight[[i - 1, i + 1]].max() >= np.median(weight)}
-    return len(got) + len(swapped), float(weight[sorted(got)].sum() / weight.sum()), min(held.values()), max(held.values())
+    return len(got) + len(swapped), float(weight[sorted(got)].sum() / weight.sum()), min(held.values()), max(held.values()), rows
 
 
 @dataclass
@@ -224,7 +239,7 @@ def _meeting(shard: Shard, block: Block) -> np.ndarray:
     return got[np.bincount(at, weights=block.weight[both[1]], minlength=len(got)) >= least]
 
 
-def search(shard: Shard, block: Block, share: float, by_weight: float) -> Iterator[tuple[int, Item, int, float, int, int]]:
+def search(shard: Shard, block: Block, share: float, by_weight: float, in_rows: float) -> Iterator[tuple[int, Item, int, float, int, int]]:
     """(document of the shard, item, words held, share by weight, first and last word) of each match."""
     w, docs = shard.w, len(shard.w.first) - 1
     for pair in _meeting(shard, block).tolist():
@@ -256,7 +271,7 @@ def search(shard: Shard, block: Block, share: float, by_weight: float) -> Iterat
         if len(pi) < 2:
             continue
         got = align(item, weight, w, lo, hi, pi, pp)
-        if got and got[0] >= share * n and got[1] >= by_weight and (n >= MIN_WORDS or got[0] == n):
+        if got and got[0] >= share * n and (n >= MIN_WORDS or got[0] == n) and (got[1] >= by_weight or (got[4] >= in_rows * n and got[1] >= by_weight - BY_WEIGHT + ROWS_WEIGHT)):
             yield d, item, got[0], got[1], got[2] - lo, got[3] - lo
 
 
@@ -283,7 +298,7 @@ def _frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
     return df, total
 
 
-def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, by_weight: float = 0.52) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, by_weight: float = BY_WEIGHT, in_rows: float = IN_ROWS) -> DataFrame:
     """One row per document and held-out item of which it holds at least ``share`` of the words in their order:
     words of the item (instruction aside), words held, both shares, the document's first and last word used, whether it is
     the exact phrase. ``documents``: ``doc_id, text``; ``items``: ``item_id, text``."""
@@ -303,7 +318,7 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, by_weight:
             for batch in batches:
                 for part in slices(batch, "text"):
                     ids = part.column("doc_id").to_pylist()
-                    found = [(ids[d], x.id, len(x.hash), n, n / len(x.hash), by, a, b, n == len(x.hash) and b - a + 1 == n) for d, x, n, by, a, b in search(Shard(part.column("text"), block.terms), block, share, by_weight)]
+                    found = [(ids[d], x.id, len(x.hash), n, n / len(x.hash), by, a, b, n == len(x.hash) and b - a + 1 == n) for d, x, n, by, a, b in search(Shard(part.column("text"), block.terms), block, share, by_weight, in_rows)]
                     cols = list(zip(*found)) if found else [[] for _ in range(9)]
                     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.bool_()]
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=[f.split()[0] for f in FOUND.split(", ")])
