@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +28,30 @@ def session(app: str = "tezgah", cpus: str | int = "*", **conf: str) -> SparkSes
     )
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in the executors' Python: sends it along, once per application, unless they find it anyway
+    (by PYTHONPATH, or in local mode by the working directory)."""
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if getattr(sc, "_tezgah_shipped", False):
+        return
+    sc._tezgah_shipped = True
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or (sc.master.startswith("local[") and os.getcwd() == root) or not os.path.isdir(root):
+        return
+    where = tempfile.mkdtemp(prefix="tezgah-code-")
+    atexit.register(shutil.rmtree, where, ignore_errors=True)
+    with zipfile.ZipFile(f"{where}/tezgah.zip", "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "tezgah")):
+            for n in names:
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    z.write(path, os.path.relpath(path, root))
+    sc.addPyFile(f"{where}/tezgah.zip")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +68,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts the lineage and survives the loss of any executor."""
+    ship(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{name}-{os.getpid()}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
