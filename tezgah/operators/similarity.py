@@ -19,25 +19,41 @@ def duplicate_groups(records: DataFrame, text: str = "text", key: str = "id", gr
     return x.groupBy(F.sha2("n", 256).alias("text_key")).agg(F.countDistinct(key).alias("records"), F.countDistinct(group).alias("groups"), F.min(key).alias("first_record")).where("records > 1")
 
 
+SIGNATURE = 4
+
+
+def _signed(sets: DataFrame) -> DataFrame:
+    """Adds the size and a signature of 64 * SIGNATURE bits, one set per element: the bits in which two signatures differ are at most
+    the elements in which the sets differ."""
+    h = sets.where("size(grams) > 0").select("id", "grams", F.size("grams").alias("size"), F.transform("grams", lambda g: F.xxhash64(g)).alias("h"))
+    one = F.lit(1).cast("bigint")
+    word = lambda k: F.aggregate(F.filter("h", lambda v: F.pmod(v, F.lit(SIGNATURE)) == k), F.lit(0).cast("bigint"), lambda s, v: s.bitwiseOR(F.call_function("shiftleft", one, F.pmod(F.shiftright(v, 8), F.lit(64)).cast("int"))))
+    return h.select("id", "grams", "size", *[word(k).alias(f"s{k}") for k in range(SIGNATURE)])
+
+
 def _prefix(sets: DataFrame, frequency: DataFrame, threshold: float) -> DataFrame:
-    """``sets``: ``id, grams``. The rarest grams of each set, as many as the threshold needs: ``id, gram, size``."""
-    x = sets.select("id", F.size("grams").alias("size"), F.explode("grams").alias("gram")).join(frequency, "gram")
+    """The rarest grams of each set, as many as the threshold needs: ``id, gram, size`` and the signature."""
+    signs = [f"s{k}" for k in range(SIGNATURE)]
+    x = sets.select("id", "size", *signs, F.explode("grams").alias("gram")).join(frequency, "gram")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "gram"))
-    return x.withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1).select("id", "gram", "size")
+    return x.withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1).select("id", F.xxhash64("gram").alias("gram"), "size", *signs)
 
 
 def jaccard_join(left: DataFrame, right: DataFrame | None, threshold: float) -> DataFrame:
     """Pairs of sets with a Jaccard similarity above ``threshold``, exactly. ``left``, ``right``: ``id, grams`` (distinct elements, unique ids).
-    Without ``right`` a self-join with ``a < b``. Gives ``a, b, similarity``. Empty and null sets match nothing."""
-    left = written(left.where("size(grams) > 0"), "sets")
+    Without ``right`` a self-join with ``a < b``. Gives ``a, b, similarity``. Empty and null sets match nothing. Pairs that meet are
+    first compared by their signatures: sets that are similar enough differ in at most (1 - t) / (1 + t) of their elements."""
+    left = written(_signed(left), "sets")
     same = right is None
-    right = left if same else written(right.where("size(grams) > 0"), "sets")
+    right = left if same else written(_signed(right), "sets")
     every = left if same else left.select("grams").unionByName(right.select("grams"))
-    frequency = every.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
-    p = _prefix(left, frequency, threshold).select(F.col("id").alias("a"), "gram", F.col("size").alias("m"))
-    q = _prefix(right, frequency, threshold).select(F.col("id").alias("b"), "gram", F.col("size").alias("n"))
-    met = p.join(q, "gram").where((F.col("m") >= threshold * F.col("n")) & (F.col("n") >= threshold * F.col("m")))
-    pairs = (met.where("a < b") if same else met).select("a", "b").distinct()
+    frequency = written(every.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")), "df")
+    named = lambda x, p: x.select("gram", *[F.col(c).alias(p + c) for c in x.columns if c != "gram"])
+    p, q = named(_prefix(left, frequency, threshold), "l_"), named(_prefix(right, frequency, threshold), "r_")
+    m, n = F.col("l_size"), F.col("r_size")
+    differ = sum((F.bit_count(F.col(f"l_s{k}").bitwiseXOR(F.col(f"r_s{k}"))) for k in range(SIGNATURE)), F.lit(0))
+    met = p.join(q, "gram").where((m >= threshold * n) & (n >= threshold * m) & (differ <= (1 - threshold) / (1 + threshold) * (m + n) + 1e-9))
+    pairs = (met.where("l_id < r_id") if same else met).select(F.col("l_id").alias("a"), F.col("r_id").alias("b")).distinct()
     x = pairs.join(left.select(F.col("id").alias("a"), F.col("grams").alias("g")), "a").join(right.select(F.col("id").alias("b"), F.col("grams").alias("h")), "b")
     return x.select("a", "b", tx.jaccard("g", "h").alias("similarity")).where(F.col("similarity") > threshold)
 
