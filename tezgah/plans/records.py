@@ -257,6 +257,23 @@ def problem_counts(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("code").agg(F.count("*").alias("n"), F.countDistinct("slot_id").alias("slots"))
 
 
+@query("""with e as (select distinct event_id, event_type, actor, payload_json from slot_events), p as (select event_type, coalesce(actor, 'unknown') as actor, payload_json is not null as given, coalesce(json_valid(payload_json), false) as sound, case when json_valid(payload_json) then try_cast(json_extract_string(payload_json, '$.confidence') as double) end as confidence from e)
+  select event_type, actor, count(*) as events, count(*) filter (where given and not sound) as damaged, count(confidence) as judged, round(avg(confidence), 6) as mean_confidence, min(confidence) as min_confidence from p group by 1, 2""")
+def judge_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """Events, damaged payloads and the confidence stated in the sound ones, by type and actor."""
+    e = table(spark, d, "slot_events").select("event_id", "event_type", "actor", "payload_json").distinct()
+    sound = F.coalesce(F.try_parse_json("payload_json").isNotNull(), F.lit(False))
+    x = e.select("event_type", F.coalesce("actor", F.lit("unknown")).alias("actor"), (F.col("payload_json").isNotNull() & ~sound).alias("bad"), F.when(sound, F.expr("try_cast(get_json_object(payload_json, '$.confidence') as double)")).alias("c"))
+    return x.groupBy("event_type", "actor").agg(F.count("*").alias("events"), F.count_if("bad").alias("damaged"), F.count("c").alias("judged"), F.round(F.avg("c"), 6).alias("mean_confidence"), F.min("c").alias("min_confidence"))
+
+
+@query("select component, count(*) as n, count(distinct family_id) as families from (select family_id, unnest(list_filter(string_split(target_feature, '.'), lambda x: trim(x) <> '')) as component from families where target_feature is not null) group by 1")
+def feature_components(spark: SparkSession, d: str) -> DataFrame:
+    """The parts of composed features."""
+    parts = F.explode(F.filter(F.split("target_feature", r"\."), lambda x: F.trim(x) != ""))
+    return table(spark, d, "families").select("family_id", parts.alias("component")).groupBy("component").agg(F.count("*").alias("n"), F.countDistinct("family_id").alias("families"))
+
+
 # ------------------------------------------------------------------ splits, manifests
 
 

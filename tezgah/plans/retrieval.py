@@ -180,6 +180,48 @@ def pool_winners(spark: SparkSession, d: str) -> DataFrame:
     return x.where("i = 1").select("pool", "scorer", "cid", "score", "margin")
 
 
+@query(f"""with {sql.POOLS}, {sql.SCORED}, r as (select s.*, gold = cid as is_gold, row_number() over (partition by s.pool, scorer order by score desc, cid desc) as i, lead(score) over (partition by s.pool, scorer order by score desc, cid desc) as runner_up from scored s join golds g on g.pool = s.pool)
+  select scorer, count(*) as pools, round(100 * avg(case when is_gold then 1.0 else 0.0 end), 6) as gold_top, round(100 * avg(case when is_gold and score > 1.05::double * coalesce(runner_up, 0) then 1.0 else 0.0 end), 6) as decisive,
+  round(median(case when is_gold then score - runner_up end), 6) as margin_median, round(max(case when is_gold then score - runner_up end), 6) as margin_max from r where i = 1 group by scorer""")
+def confound_report(spark: SparkSession, d: str) -> DataFrame:
+    """How often a scorer alone puts gold on top (ties towards the greater id), how often by more than 5 %, and by which margin."""
+    w = Window.partitionBy("pool", "scorer").orderBy(F.desc("score"), F.desc("cid"))
+    x = scored(spark, d).withColumn("is_gold", F.col("cid") == F.min("cid").over(Window.partitionBy("pool", "scorer")))
+    x = x.withColumn("i", F.row_number().over(w)).withColumn("runner_up", F.lead("score").over(w)).where("i = 1")
+    rate = lambda c, n: F.round(100 * F.avg(c.cast("double")), 6).alias(n)
+    margin = F.when(F.col("is_gold"), F.col("score") - F.col("runner_up"))
+    return x.groupBy("scorer").agg(F.count("*").alias("pools"), rate(F.col("is_gold"), "gold_top"), rate(F.col("is_gold") & (F.col("score") > 1.05 * F.coalesce("runner_up", F.lit(0.0))), "decisive"), F.round(F.percentile(margin, 0.5), 6).alias("margin_median"), F.round(F.max(margin), 6).alias("margin_max"))
+
+
+@query(f"""with {sql.POOLS}, {sql.SCORED}, x as (select s.scorer, s.score, g.score as gold_score, case when c.lemma = c.query_lemma then 'hard_negative' else 'easy_negative' end as role from scored s join golds on golds.pool = s.pool join scored g on g.pool = s.pool and g.scorer = s.scorer and g.cid = gold join cand c on c.pool = s.pool and c.cid = s.cid where s.cid <> gold)
+  select scorer, role, count(*) as pairs, round(100 * avg(case when gold_score > score then 1.0 else 0.0 end), 1) as accuracy from x group by scorer, role""")
+def sparse_pairwise(spark: SparkSession, d: str) -> DataFrame:
+    """Strict pairwise accuracy of each scorer by the kind of negative."""
+    s = scored(spark, d).join(pools(spark, d).select("pool", "cid", F.when(F.col("lemma") == F.col("query_lemma"), "hard_negative").otherwise("easy_negative").alias("role")), ["pool", "cid"])
+    first = F.min(F.struct("cid", "score")).over(Window.partitionBy("pool", "scorer"))
+    x = s.withColumn("g", first).where(F.col("cid") != F.col("g.cid"))
+    return x.groupBy("scorer", "role").agg(F.count("*").alias("pairs"), F.round(100 * F.avg(rank.win("g.score", "score", 0.0)), 1).alias("accuracy"))
+
+
+@query()
+def critical_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The contrasting word pair of query and candidate, derived from the texts."""
+    x = pools(spark, d).select("pool", "cid", udfs.derived_pair(tx.tokens("query"), tx.tokens("text")).alias("p"))
+    return x.select("pool", "cid", "p.left", "p.right", "p.kind")
+
+
+_PREFIX = f"""select generator_id, opening, n from (select g.generator_id, array_to_string({sql.tok('text')}[1:3], ' ') as opening, count(*) as n, row_number() over (partition by g.generator_id order by count(*) desc, array_to_string({sql.tok('text')}[1:3], ' ')) as i
+  from {sql.Q} q join (select family_id, max(generator_id) as generator_id from families where family_id is not null group by 1) g on g.family_id = q._id where q.text is not null and g.generator_id is not null group by 1, 2) where i <= 10"""
+
+
+@query(_PREFIX)
+def usual_openings(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most common first three words of each generator's queries."""
+    x = one_query(spark, d).where("text is not null").join(one_family(spark, d, "generator_id").withColumnRenamed("family_id", "_id"), "_id").where("generator_id is not null")
+    n = x.groupBy("generator_id", F.array_join(F.slice(tx.tokens("text"), 1, 3), " ").alias("opening")).agg(F.count("*").alias("n"))
+    return rank.top(n, ["generator_id"], "n", ["opening"], 10).drop("rank")
+
+
 @query(f"with {sql.POOLS} select pool, qid, array_to_string(list(cid order by sha256(pool || '|' || cid)), ',') as candidates, count(*) as n from cand group by pool, qid")
 def blind_pools(spark: SparkSession, d: str) -> DataFrame:
     """Pools without labels, their candidates in a fixed pseudo-random order."""
