@@ -410,6 +410,21 @@ def test_repeated_words_against_a_plain_version(vocabulary):
     assert np.mean(close) >= 0.95 and sum(want) > 300  # of several earlier places the nearest and the first are compared
 
 
+def test_every_earlier_place_counts():
+    """Lines with a changing number and a common ending: the true earlier copy is often neither the first nor the nearest place of its four words."""
+    r = random.Random(16)
+    kinds = [[f"satır{k}{x}" for x in "abc"] for k in range(10)]
+    texts = []
+    for t in range(4):
+        w = []
+        for j in range(40):
+            w += [f"dolgu{t}{j}", *r.choice(kinds), str(r.randrange(10**6)), "olarak", "kayda", "geçmiş", "bulunur"]
+        texts.append(" ".join(w))
+    w = words.words(pa.array(texts))
+    rep, _ = repetition.repeated(w.hash, w.row)
+    assert np.bincount(w.row[rep], minlength=len(texts)).tolist() == [plain_repetition(words.one(t)) for t in texts]
+
+
 def test_repetition_report(spark, vocabulary):
     r = random.Random(14)
     rows = []

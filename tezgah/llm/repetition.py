@@ -30,21 +30,23 @@ CUT = 16.266
 HALF_FACTOR = 1.8591
 #: Least standard deviation of a statistic on its transformed scale, so that a group of documents without any repetition has a scatter.
 FLOOR = 0.05
+#: Of each place in a window, what tells its word from the same word in another place.
+_PLACE = mix(np.arange(1, WINDOW + 1))
 STATS = "doc_id bigint, lang string, source string, n_words bigint, rep_words bigint, rep_share double, s1 double, s2 double, s3 double"
 
 
-def _earlier(keys: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For positions with the same key and group: (position, nearest earlier position, first position), of all but the first."""
+def _stood(keys: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each position, whether its key stood earlier in its group, and whether it stands there more than once."""
     with np.errstate(over="ignore"):
         k = mix(keys ^ (group.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
     order = np.argsort(k, kind="stable")
-    same = np.zeros(len(k), bool)
     s = k[order]
-    same[1:] = s[1:] == s[:-1]
-    starts = np.flatnonzero(~same)
-    first = order[starts[np.cumsum(~same) - 1]] if len(order) else order
-    at = np.flatnonzero(same)
-    return order[at], order[at - 1], first[at]
+    same = np.zeros(len(k) + 1, bool)
+    same[1:-1] = s[1:] == s[:-1]
+    earlier, more = np.zeros(len(k), bool), np.zeros(len(k), bool)
+    earlier[order] = same[:-1]
+    more[order] = same[:-1] | same[1:]
+    return earlier, more
 
 
 def _grams(h: np.ndarray, n: int) -> np.ndarray:
@@ -66,36 +68,36 @@ def repeated(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``h``: word hashes of documents laid end to end; ``doc``: the document of each word. Which words are repeated wording,
     and which begin four words that stood before.
 
-    Eight words with one exchanged always hold four unchanged ones in a row, so four-word matches find all windows; each is
-    compared with the nearest earlier and with the first place of its four words.
+    Eight words with one exchanged always hold four unchanged ones in a row, so only windows with four words that stand twice
+    in their document are looked up: five words by their hash, eight by their hashes with each word in turn left out. All earlier
+    places are found.
     """
     n = len(h)
     rep, four = np.zeros(n, bool), np.zeros(n, bool)
     if n < HALF:
         return rep, four
-    whole = doc[: n - HALF + 1] == doc[HALF - 1 :]
-    pos = np.flatnonzero(whole)
-    at, near, first = _earlier(_grams(h, HALF)[pos], doc[pos])
-    at, near, first = pos[at], pos[near], pos[first]
-    four[at] = True
-    other = first != near
-    i = np.concatenate([at, at[other]])
-    p = np.concatenate([near, first[other]])
-    if not len(i):
-        return rep, four
-    reach = np.arange(-HALF, WINDOW)
-    a, b = i[:, None] + reach, p[:, None] + reach
-    ok = (a >= 0) & (b >= 0) & (a < n) & (b < n)
-    a, b = np.clip(a, 0, n - 1), np.clip(b, 0, n - 1)
-    inside = ok & (doc[a] == doc[i][:, None]) & (doc[b] == doc[i][:, None])
-    eq = inside & (h[a] == h[b])
-    c_eq, c_in = (np.concatenate([np.zeros((len(i), 1), np.int16), np.cumsum(x, 1, dtype=np.int16)], 1) for x in (eq, inside))
-    for begin in (3, 4):  # windows of five words that hold the four
-        good = c_eq[:, begin + RUN] - c_eq[:, begin] == RUN
-        rep |= _mark(n, (i + reach[begin])[good], RUN)
-    for begin in range(0, HALF + 1):  # windows of eight
-        good = (c_eq[:, begin + WINDOW] - c_eq[:, begin] >= WINDOW - 1) & (c_in[:, begin + WINDOW] - c_in[:, begin] == WINDOW)
-        rep |= _mark(n, (i + reach[begin])[good], WINDOW)
+    pos = np.flatnonzero(doc[: n - HALF + 1] == doc[HALF - 1 :])
+    stood, more = _stood(_grams(h, HALF)[pos], doc[pos])
+    four[pos[stood]] = True
+    twice = np.zeros(n + 1, np.int64)
+    twice[pos[more] + 1] = 1
+    twice = np.cumsum(twice)
+
+    def windows(size: int) -> np.ndarray:
+        i = np.arange(max(0, n - size + 1))
+        return i[(doc[i] == doc[i + size - 1]) & (twice[i + size - HALF + 1] > twice[i])]
+
+    if len(i := windows(RUN)):
+        stood, _ = _stood(_grams(h, RUN)[i], doc[i])
+        rep |= _mark(n, i[stood], RUN)
+    if len(i := windows(WINDOW)):
+        with np.errstate(over="ignore"):
+            each = mix(h[i[:, None] + np.arange(WINDOW)] + _PLACE)
+        whole = each.sum(1, dtype=np.uint64)
+        found = np.zeros(len(i), bool)
+        for k in range(WINDOW):
+            found |= _stood(mix(whole - each[:, k]), doc[i])[0]
+        rep |= _mark(n, i[found], WINDOW)
     return rep, four
 
 
