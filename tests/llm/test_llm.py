@@ -89,6 +89,23 @@ def test_near_duplicates_find_what_all_pairs_find(spark, vocabulary, monkeypatch
     assert len(want) > 40 and got == want
 
 
+def common_words(seed=17, per=60):
+    """Texts that share seven frequent short words, with three long words of their own."""
+    r = random.Random(seed)
+    rows = []
+    for t in range(3):
+        shared = ["".join(r.choice("bcdfgklmnprstvz") + r.choice("aeiou") for _ in range(2)) + "xyw"[t] for _ in range(7)]
+        for k in range(per):
+            rows.append((f"{t}-{k:03}", " ".join(shared + ["".join(r.choice("abcdefghijklmnoprstuvyz") for _ in range(9)) for _ in range(3)])))
+    return rows
+
+
+def test_frequent_shared_words_are_enough(spark):
+    rows = common_words()
+    got = {(x["id_a"], x["id_b"]) for x in near_dup.near_duplicates(spark.createDataFrame(rows, "id string, text string")).collect()}
+    assert got == brute_pairs(rows) and len(got) >= 3 * 60 * 59 // 2
+
+
 def test_near_duplicates_edges(spark):
     rows = [("a", None), ("b", ""), ("c", " \n"), ("d", "tek"), ("e", "TEK!"), ("f", "başka"), ("g", "bir iki üç dört"), ("g", "bir iki üç dört"), ("h", "dört üç iki bir"), (None, "bir iki üç dört"), ("l", "uzun " * 20_000)]
     df = spark.createDataFrame(rows, "id string, text string")

@@ -4,15 +4,18 @@ Two records are near duplicates if at least ``agree`` of the words of the longer
 order, each word as often as it stands; a slip of a letter or two makes no other word. Equal word bags are one class; work
 is done on classes, and copies are expanded only where a result asks for pairs of records.
 
-1. Keys: the first and the last letters of each word (a slip spoils one of them). Rare keys inform more (log of the inverse
-   frequency). Of each class, the rarest keys are kept until the rest holds less than ``KEPT_OUT`` of its information: classes
-   that share that much of it have a kept key in common, however frequent their other keys are.
-2. Classes with a kept key in common form a block. In a block, 256-bit sketches of the letter triples are compared bit-sliced:
-   bit plane j holds bit j of 64 records per machine word; the planes are compared with themselves shifted by d records, the
-   differences of all pairs at distance d are summed by carry-save adders into vertical counters, and words of lanes are
-   abandoned as soon as all their counters exceed the radius. Blocks of more than ``TILE`` rows are cut into tiles, and each
-   pair of tiles is a task of its own.
-3. Pairs within the radius are checked exactly, word by word.
+1. Words that differ by a slip are linked, over the vocabulary: words a slip or two apart agree once a letter or two are left out
+   of each. The connected words are one token, so that words that are partners always have the same token (words that aren't may
+   have it too: tokens only choose what is checked).
+2. Of a class of n words, the rarest n - ceil(``agree`` n) + 1 tokens, each as often as it stands, are kept, in one order for all
+   classes: two classes that agree have a kept token in common, however frequent their tokens are.
+3. Classes with a kept token in common form a block, by length: lengths that can agree meet. In a block, 256-bit sketches (each
+   token flips one bit) are compared bit-sliced: bit plane j holds bit j of 64 records per machine word; the planes are compared
+   with themselves shifted by d records, the differences of all pairs at distance d are summed by carry-save adders into vertical
+   counters, and words of lanes are abandoned as soon as all their counters exceed the radius. Classes that agree differ in at
+   most twice the words that needn't agree, so the radius follows from the longest length of the block and loses no pair. Blocks
+   of more than ``TILE`` rows are cut into tiles, and each pair of tiles is a task of its own.
+4. Pairs within the radius are checked exactly, word by word.
 
 Edge cases: null and blank texts have no words and give no pair. Repeated rows count once; an id with several texts stands
 for each of them. Texts of one word pair only with equal words up to slips. Extra columns are ignored.
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +36,10 @@ from tezgah.llm.leak import near
 from tezgah.llm.words import mix, slices, words
 from tezgah.session import written
 
-KEPT_OUT = 0.4
 BITS = 256
-#: Sketches of near duplicates differ in 62 bits at most on the test data, of unrelated records in 115 at the median.
-RADIUS = 80
 TILE = 2048
-AFFIX = 5
+#: Words of more letters meet by length alone, since the ways of leaving out two letters grow with the square of the length.
+LONG = 24
 GROUP = 32
 
 
@@ -60,66 +62,81 @@ def classes(bag_rows: DataFrame) -> DataFrame:
     return written(bag_rows.groupBy("cls").agg(F.min("bag").alias("bag")), "classes")
 
 
-def _ends(words_of: list[str]) -> list[str]:
-    return [x[:AFFIX] for x in words_of] + ["$" + x[-AFFIX:] for x in words_of]
-
-
-
-
-def _sketch(bag_list: list[str]) -> np.ndarray:
-    """256 majority bits over the hashed letter triples of all words, as bytes."""
-    out = np.zeros((len(bag_list), BITS // 8), np.uint8)
-    for a in range(0, len(bag_list), 512):
-        part = ["  ".join(["", *b.split(" "), ""]) for b in bag_list[a : a + 512]]
-        code = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32).astype(np.uint64)
-        size = np.array([len(p) for p in part])
-        with np.errstate(over="ignore"):
-            tri = mix(code[:-2] * np.uint64(0x1FFFFFFFFFFFFFFF) + code[1:-1] * np.uint64(0x1F3D5B79) + code[2:])
-        begin = np.cumsum(size) - size
-        inside = np.ones(len(tri), bool)
-        for k in (1, 2):
-            x = np.cumsum(size)[:-1] - k
-            inside[x[x < len(tri)]] = False
-        inside &= (code[1:-1] != 32) | ((code[:-2] != 32) & (code[2:] != 32))
-        of = np.searchsorted(begin, np.arange(len(tri)), side="right") - 1
-        uniq, at = np.unique(tri[inside], return_inverse=True)
-        with np.errstate(over="ignore"):
-            signs = np.unpackbits(np.stack([mix(uniq + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) for k in range(1, BITS // 64 + 1)], axis=1).view(np.uint8), axis=1).astype(np.int8) * 2 - 1
-        row = of[inside]
-        starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
-        if len(starts):
-            sums = np.add.reduceat(signs[at].astype(np.int16), starts, axis=0)
-            out[a + row[starts]] = np.packbits(sums > 0, axis=1)
-    return out
+def least_words(n: int, agree: float) -> int:
+    """Of n words, how many must agree."""
+    return ceil(agree * n - 1e-9)
+
+
+def _left_out(w: str) -> set[str]:
+    """The word with as many letters left out as a slip may spoil; two words a slip apart have one of these in common."""
+    if len(w) < 4 or w.isdigit():
+        return set()
+    if len(w) > LONG - 2:
+        long = {f"#{len(w) + k}" for k in range(3)}
+        if len(w) > LONG:
+            return long
+    else:
+        long = set()
+    once = {w[:k] + w[k + 1 :] for k in range(len(w))}
+    if len(w) < 6:
+        return {w} | once
+    return long | {w} | once | {x[:k] + x[k + 1 :] for x in once for k in range(len(x))}
 
 
-def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _left_out_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        cls, key = [], []
-        for c, bag in zip(b.column("cls").to_pylist(), b.column("bag").to_pylist()):
-            k = set(_ends(bag.split(" ")))
-            cls += [c] * len(k)
-            key += k
-        yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(key, pa.string())], names=["cls", "key"])
+        for at in range(0, b.num_rows, 2000):
+            word, key = [], []
+            for w in b.column("word").slice(at, 2000).to_pylist():
+                k = _left_out(w)
+                word += [w] * len(k)
+                key += k
+            yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(key, pa.string())], names=["word", "key"])
 
 
-def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _near_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        s = _sketch(b.column("bag").to_pylist())
-        yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array([x.tobytes() for x in s], pa.binary())], names=["cls", "sketch"])
+        yield b.filter(pa.array([near(x, y) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())], pa.bool_()))
+
+
+def tokens(cls: DataFrame) -> DataFrame:
+    """One row per class and word occurrence: ``cls, n`` (words of the class), ``token``. Words that differ by a slip have the same
+    token, and the k-th occurrence of a token in a class is a token of its own."""
+    from tezgah.llm.components import components
+
+    entries = cls.select("cls", F.explode(F.split("bag", " ")).alias("word"))
+    vocabulary = written(entries.select("word").distinct(), "vocabulary")
+    keys = written(vocabulary.mapInArrow(_left_out_rows, "word string, key string").select("word", F.xxhash64("key").alias("key")), "left-out")
+    several = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    met = keys.join(several, "key")
+    pairs = met.select("key", F.col("word").alias("x")).join(met.select("key", F.col("word").alias("y")), "key").where("x < y").select("x", "y").distinct()
+    slips = pairs.mapInArrow(_near_rows, "x string, y string").select(F.xxhash64("x").alias("x"), F.xxhash64("y").alias("y"))
+    label = components(slips)
+    named = entries.select("cls", F.xxhash64("word").alias("node")).join(label, "node", "left").select("cls", F.coalesce("component", "node").alias("word"))
+    count = named.groupBy("cls", "word").agg(F.count("*").alias("times"))
+    n = cls.select("cls", F.size(F.split("bag", " ")).alias("n"))
+    each = count.select("cls", "word", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("k"))
+    return written(each.select("cls", F.xxhash64("word", "k").alias("token")).join(n, "cls"), "tokens")
+
+
+def rarest(entries: DataFrame, agree: float) -> DataFrame:
+    """``entries``: ``cls, n, token``. Keeps of each class the rarest tokens, so many that any class that agrees has one of them among
+    its own; adds the token's frequency ``df``. Tokens of a single class count, but are left out of the result."""
+    df = entries.groupBy("token").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("cls").orderBy("df", "token"))
+    x = entries.join(df, "token").withColumn("place", place)
+    return x.where((F.col("place") <= F.col("n") - F.ceil(F.lit(agree) * F.col("n") - 1e-9) + 1) & (F.col("df") > 1)).select("cls", "n", "token", "df")
 
 
-def rarest(entries: DataFrame, n: int, kept_out: float = KEPT_OUT) -> DataFrame:
-    """``entries``: distinct ``cls, key``. Keeps of each class the rarest keys, until the others hold less than ``kept_out`` of
-    its information; adds the key's frequency ``df`` and its information ``w``, and the class's ``info``. Keys of a single
-    class are left out of the result, not of the sums."""
-    df = entries.groupBy("key").agg(F.count("*").alias("df"))
-    each = Window.partitionBy("cls")
-    w = F.log(1 + F.lit(float(n)) / F.col("df"))
-    x = entries.join(df, "key").withColumn("w", w)
-    common_first = each.orderBy(F.desc("df"), F.desc("key")).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("info", F.sum("w").over(each)).withColumn("rest", F.sum("w").over(common_first))
-    return x.where((F.col("rest") >= kept_out * F.col("info")) & (F.col("df") > 1)).select("cls", "key", "df", "w", "info")
+def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """256 bits of a class; each of its tokens flips one."""
+    for b in batches:
+        out = np.zeros((b.num_rows, BITS), np.uint8)
+        t = b.column("tokens")
+        bit = (mix(t.flatten().to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(BITS)).astype(np.int64)
+        row = np.repeat(np.arange(b.num_rows), np.asarray(t.value_lengths().to_numpy(zero_copy_only=False), np.int64))
+        np.bitwise_xor.at(out, (row, bit), 1)
+        yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array([x.tobytes() for x in np.packbits(out, axis=1)], pa.binary())], names=["cls", "sketch"])
 
 
 def _full(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +175,7 @@ def _exceeds(bits: list[np.ndarray], radius: int) -> np.ndarray:
     return more
 
 
-def close_pairs(block: np.ndarray, sketch: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+def close_pairs(block: np.ndarray, sketch: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows (i, j) of the same block whose sketches differ in at most ``radius`` bits. ``sketch``: rows of bytes."""
     n = len(block)
     none = np.zeros(0, np.int64)
@@ -219,30 +236,39 @@ def close_pairs(block: np.ndarray, sketch: np.ndarray, radius: int = RADIUS) ->
     return np.concatenate(left), np.concatenate(right)
 
 
-def _compare(batches: Iterator[pa.RecordBatch], least: int = 60_000) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by block; complete blocks are compared some ten thousand rows at a time."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def done(last: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal held
-        block, cls, sk = (np.concatenate([h[k] for h in held]) for k in range(3))
-        cut = len(block) if last else int(np.flatnonzero(block != block[-1])[-1]) + 1 if (block != block[-1]).any() else 0
-        i, j = close_pairs(block[:cut], sk[:cut])
-        a, b = np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
-        held = [(block[cut:], cls[cut:], sk[cut:])]
-        if len(a):
-            u = np.unique(np.stack([a, b]), axis=1)
-            u = u[:, u[0] != u[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(u[0]), pa.array(u[1])], names=["a", "b"])
-
-    for batch in batches:
-        if batch.num_rows:
-            sk = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, BITS // 8)
-            held.append((batch.column("block").to_numpy(), batch.column("cls").to_numpy(), sk))
-            if sum(len(h[0]) for h in held) >= least:
-                yield from done(False)
-    if held and sum(len(h[0]) for h in held):
-        yield from done(True)
+def _compare(agree: float, least: int = 60_000):
+    """Rows come sorted by block; complete blocks are compared some ten thousand rows at a time, those of like lengths together."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def done(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            block, cls, n, level, sk = (np.concatenate([h[k] for h in held]) for k in range(5))
+            cut = len(block) if last else int(np.flatnonzero(block != block[-1])[-1]) + 1 if (block != block[-1]).any() else 0
+            held = [tuple(x[cut:] for x in (block, cls, n, level, sk))]
+            for at in np.unique(level[:cut]):
+                some = np.flatnonzero(level[:cut] == at)
+                most = int(n[some].max())
+                i, j = close_pairs(block[some], sk[some], 2 * (most - least_words(most, agree)))
+                i, j = some[i], some[j]
+                short, long = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+                fits = (short >= np.ceil(agree * long - 1e-9)) & (cls[i] != cls[j])
+                a, b = np.minimum(cls[i], cls[j])[fits], np.maximum(cls[i], cls[j])[fits]
+                if len(a):
+                    u = np.unique(np.stack([a, b]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(u[0]), pa.array(u[1])], names=["a", "b"])
+
+        for batch in batches:
+            if batch.num_rows:
+                sk = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, BITS // 8)
+                held.append((*(batch.column(c).to_numpy() for c in ("block", "cls", "n", "level")), sk))
+                if sum(len(h[0]) for h in held) >= least:
+                    yield from done(False)
+        if held and sum(len(h[0]) for h in held):
+            yield from done(True)
+
+    return compare
 
 
 def agreement(a: list[str], b: list[str], least: float = 0.0) -> float:
@@ -278,19 +304,26 @@ def checked(pairs: DataFrame, cls: DataFrame, agree: float) -> DataFrame:
     return x.select("a", "b", "bag_a", "bag_b").mapInArrow(check, "a bigint, b bigint, share double")
 
 
-def class_links(cls: DataFrame, agree: float = 0.7) -> DataFrame:
-    """Pairs ``a < b`` of different classes that agree, each once, with the share."""
-    n = cls.count()
-    entries = cls.mapInArrow(_key_rows, "cls bigint, key string").withColumn("key", F.xxhash64("key"))
-    kept = rarest(entries, n).join(cls.mapInArrow(_sketch_rows, "cls bigint, sketch binary"), "cls")
+def candidates(cls: DataFrame, agree: float) -> DataFrame:
+    """Pairs ``a < b`` of different classes, each once, that hold all pairs that agree."""
+    entries = tokens(cls)
+    sketches = entries.groupBy("cls").agg(F.collect_list("token").alias("tokens")).mapInArrow(_sketch_rows, "cls bigint, sketch binary")
+    kept = rarest(entries, agree).join(sketches, "cls")
+    # classes that agree lie in the same level of lengths or in the next one
+    level = F.floor(F.log(F.col("n").cast("double")) / F.lit(-log(agree))).cast("int")
+    levelled = kept.withColumn("level", F.explode(F.array(level, level + 1)))
     tiles = F.ceil(F.col("df") / TILE).cast("int")
     own = F.pmod(F.xxhash64("cls"), tiles).cast("int")
     other = F.explode(F.sequence(F.lit(0), tiles - 1))
-    spread = kept.select("key", "cls", "sketch", own.alias("own"), other.alias("other"))
-    block = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    rows = spread.select(block.alias("block"), "cls", "sketch").repartition("block").sortWithinPartitions("block")
-    pairs = rows.mapInArrow(_compare, "a bigint, b bigint").distinct()
-    return checked(pairs, cls, agree)
+    spread = levelled.select("token", "level", "cls", "n", "sketch", own.alias("own"), other.alias("other"))
+    block = F.xxhash64("token", "level", F.least("own", "other"), F.greatest("own", "other"))
+    rows = spread.select(block.alias("block"), "cls", "n", "level", "sketch").repartition("block").sortWithinPartitions("block")
+    return rows.mapInArrow(_compare(agree), "a bigint, b bigint").distinct()
+
+
+def class_links(cls: DataFrame, agree: float = 0.7) -> DataFrame:
+    """Pairs ``a < b`` of different classes that agree, each once, with the share."""
+    return checked(candidates(cls, agree), cls, agree)
 
 
 def record_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
