@@ -106,6 +106,19 @@ def test_frequent_shared_words_are_enough(spark):
     assert got == brute_pairs(rows) and len(got) >= 3 * 60 * 59 // 2
 
 
+def test_slips_in_the_shared_words(spark):
+    """Five of the seven shared words with two letters altered: more letter triples differ than agree."""
+    r = random.Random(18)
+    rows = []
+    letters = "abcdefghijklmnoprstuvyz"
+    for k in range(60):
+        w = ["".join(r.choice(letters) for _ in range(8)) for _ in range(10)]
+        v = [x[:3] + "q" + x[4] + "w" + x[6:] for x in w[:5]] + w[5:7] + ["".join(r.choice(letters) for _ in range(9)) for _ in range(3)]
+        rows += [(f"a{k}", " ".join(w)), (f"b{k}", " ".join(v))]
+    got = {(x["id_a"], x["id_b"]) for x in near_dup.near_duplicates(spark.createDataFrame(rows, "id string, text string")).collect()}
+    assert got == {(f"a{k}", f"b{k}") for k in range(60)}
+
+
 def test_near_duplicates_edges(spark):
     rows = [("a", None), ("b", ""), ("c", " \n"), ("d", "tek"), ("e", "TEK!"), ("f", "başka"), ("g", "bir iki üç dört"), ("g", "bir iki üç dört"), ("h", "dört üç iki bir"), (None, "bir iki üç dört"), ("l", "uzun " * 20_000)]
     df = spark.createDataFrame(rows, "id string, text string")
