@@ -172,6 +172,20 @@ def test_overlaps_across_splits(spark, vocabulary):
     assert chunks.split_overlaps(q.limit(0), fam).count() == 0
 
 
+def test_frequent_words_and_slips_across_splits(spark):
+    """Slips make chunks unique; the shared words are frequent."""
+    rows = [(i, t if int(i[2:]) % 2 else " ".join(w[:1] + "qq" + w[3:] if k < 5 and len(w) > 5 else w for k, w in enumerate(t.split()))) for i, t in common_words(19, 20)]
+    r = random.Random(20)
+    for k in range(30):
+        w = ["".join(r.choice("abcdefghijklmnoprstuvyz") for _ in range(8)) for _ in range(10)]
+        rows += [(f"a{k}", " ".join(w)), (f"b{k}", " ".join([x[:3] + "q" + x[4] + "w" + x[6:] for x in w[:6]] + w[6:8]))]
+    side = {i: "train" if k % 2 else "dev" for k, (i, _) in enumerate(rows)}
+    want = {p for p in brute_pairs(rows) if side[p[0]] != side[p[1]]}
+    q = spark.createDataFrame(rows, "_id string, text string")
+    fam = spark.createDataFrame([(i, s, "src") for i, s in side.items()], "family_id string, split_name string, source_dataset string")
+    assert {tuple(sorted((x["train_id"], x["eval_id"]))) for x in chunks.split_overlaps(q, fam).collect()} == want and {(f"a{k}", f"b{k}") for k in range(30)} <= want
+
+
 # ------------------------------------------------------------------ components and splits
 
 

@@ -1,10 +1,10 @@
 """Same or near-same records across splits (problem 4).
 
-Normalised records are cut where a rolling hash of the last letters says so, each word by itself, so that neither the order of
-the words nor an edit elsewhere moves a cut. Chunk digests are joined between the training split and the evaluation splits,
-the rarest first: frequent chunks are not joined as long as the others hold more than ``KEPT_OUT`` of a record's information.
-The lengths of the shared chunks are summed into an overlap fraction per pair, and pairs with enough overlap are checked word by
-word.
+Candidates are the pairs of problem 1 (rarest slip-proof tokens, kept by count, so that 7 of 10 words guarantee a meeting one) of
+which one record stands in the training split and the other in an evaluation split; they are checked word by word. Of the
+pairs that agree, the overlap is measured: records are cut where a rolling hash of the last letters says so, each word by itself,
+so that neither the order of the words nor an edit elsewhere moves a cut, and the lengths of the shared chunks are summed
+into a fraction. The fraction is reported and rejects no pair.
 
 Edge cases: families without a split, null and blank texts give no pair. Repeated rows and ids count once; copies of one text
 are one class until pairs of records are asked for. Extra columns are ignored.
@@ -17,18 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tezgah.llm.near_dup import agreement, bags, classes
+from tezgah.llm.near_dup import agreement, bags, candidates, classes
 from tezgah.llm.words import mix
 from tezgah.session import written
 
-KEPT_OUT = 0.4
 #: Letters of the rolling hash, least length of a chunk, and one cut in how many places.
 WINDOW, LEAST, ONE_IN = 3, 3, 8
-#: Share of a record's information that the joined chunks of a pair must have, and share of the length that all its chunks must have.
-JOINED, OVERLAP = 0.12, 0.3
 #: Spellings of the splits.
 SPLITS = {"train": "train", "development": "development", "dev": "development", "sealed_test": "sealed_test", "test": "sealed_test"}
 
@@ -65,29 +62,6 @@ def cut(bag: str) -> list[str]:
     return out
 
 
-def rarest(entries: DataFrame, n: int, kept_out: float = KEPT_OUT) -> DataFrame:
-    """``entries``: distinct ``cls, key``. Keeps of each class the rarest keys, until the others hold less than ``kept_out`` of
-    its information; adds the key's frequency ``df`` and its information ``w``, and the class's ``info``. Keys of a single
-    class are left out of the result, not of the sums."""
-    df = entries.groupBy("key").agg(F.count("*").alias("df"))
-    each = Window.partitionBy("cls")
-    w = F.log(1 + F.lit(float(n)) / F.col("df"))
-    x = entries.join(df, "key").withColumn("w", w)
-    common_first = each.orderBy(F.desc("df"), F.desc("key")).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("info", F.sum("w").over(each)).withColumn("rest", F.sum("w").over(common_first))
-    return x.where((F.col("rest") >= kept_out * F.col("info")) & (F.col("df") > 1)).select("cls", "key", "df", "w", "info")
-
-
-def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        cls, chunk = [], []
-        for c, bag in zip(b.column("cls").to_pylist(), b.column("bag").to_pylist()):
-            k = set(cut(bag))
-            cls += [c] * len(k)
-            chunk += k
-        yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(chunk, pa.string())], names=["cls", "key"])
-
-
 def overlap(a: str, b: str) -> float:
     """Shared chunk lengths over the length of the longer bag, spaces aside."""
     x, y = Counter(cut(a)), Counter(cut(b))
@@ -100,9 +74,8 @@ def _measured(agree: float):
         for t in batches:
             out = []
             for a, b, x, y in zip(*(t.column(c).to_pylist() for c in ("train_cls", "eval_cls", "bag_a", "bag_b"))):
-                o = overlap(x, y)
-                if o >= OVERLAP and (s := agreement(x.split(" "), y.split(" "), agree)) >= agree:
-                    out.append((a, b, o, s))
+                if (s := agreement(x.split(" "), y.split(" "), agree)) >= agree:
+                    out.append((a, b, overlap(x, y), s))
             cols = list(zip(*out)) if out else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["train_cls", "eval_cls", "overlap", "agreement"])
 
@@ -114,12 +87,10 @@ def class_overlaps(rows: DataFrame, agree: float = 0.7) -> DataFrame:
     ``train_cls, eval_cls, overlap, agreement``."""
     cls = classes(rows)
     side = written(rows.groupBy("cls").agg(F.max(F.col("is_train").cast("int")).alias("t"), F.max((~F.col("is_train")).cast("int")).alias("e")), "sides")
-    entries = cls.mapInArrow(_chunk_rows, "cls bigint, key string").withColumn("key", F.xxhash64("key"))
-    kept = written(rarest(entries, cls.count(), KEPT_OUT).join(side, "cls"), "chunks")
-    train = kept.where("t = 1").select("key", F.col("cls").alias("train_cls"), "w", F.col("info").alias("i_t"))
-    evals = kept.where("e = 1").select("key", F.col("cls").alias("eval_cls"), F.col("info").alias("i_e"))
-    met = train.join(evals, "key").where("train_cls <> eval_cls").groupBy("train_cls", "eval_cls").agg(F.sum("w").alias("w"), F.max(F.greatest("i_t", "i_e")).alias("info"))
-    pairs = met.where(F.col("w") >= JOINED * F.col("info")).select("train_cls", "eval_cls")
+    of = lambda c: side.select(F.col("cls").alias(c), F.col("t").alias(f"t_{c}"), F.col("e").alias(f"e_{c}"))
+    met = candidates(cls, agree).join(of("a"), "a").join(of("b"), "b")
+    way = lambda x, y: F.when((F.col(f"t_{x}") == 1) & (F.col(f"e_{y}") == 1), F.struct(F.col(x).alias("train_cls"), F.col(y).alias("eval_cls")))
+    pairs = met.select(F.explode(F.array_compact(F.array(way("a", "b"), way("b", "a")))).alias("p")).select("p.train_cls", "p.eval_cls")
     bag = lambda c, n: cls.select(F.col("cls").alias(c), F.col("bag").alias(n))
     near = pairs.join(bag("train_cls", "bag_a"), "train_cls").join(bag("eval_cls", "bag_b"), "eval_cls").mapInArrow(_measured(agree), "train_cls bigint, eval_cls bigint, overlap double, agreement double")
     same = side.where("t = 1 and e = 1").select(F.col("cls").alias("train_cls"), F.col("cls").alias("eval_cls"), F.lit(1.0).alias("overlap"), F.lit(1.0).alias("agreement"))
