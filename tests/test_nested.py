@@ -113,3 +113,16 @@ def test_deep_and_long(spark):
     df = spark.createDataFrame([("d", deep), ("l", long)], "id string, doc string")
     n = collections.Counter(r["record_id"] for r in nested.nested_objects(df, "id", "doc", "t").collect())
     assert n == {"d": 60, "l": 3}
+
+
+def test_flat_fields_of_all_kinds(spark):
+    from tezgah.operators import nested
+
+    rows = [("r1", '{"a":[{"x":1.50,"y":"[k","o":{"z":true},"b":[{"v":null}]},{"x":2,"b":{"v":"t"}}]}'), ("r2", '{"c":[{"t":["p","q"]}]}'), ("r3", "{")]
+    o = nested.nested_objects(spark.createDataFrame(rows, "id string, j string"), "id", "j", "s", True)
+    got = {(r["record_id"], r["node_path"], r["kind"], r["field"], r["value"], r["type"]) for r in nested.flat_fields(o).collect()}
+    a0, a1 = "$.a[0]", "$.a[1]"
+    assert got == {
+        ("r1", a0, "$.a[]", "x", "1.50", "number"), ("r1", a0, "$.a[]", "y", "[k", "string"), ("r1", a0, "$.a[]", "o.z", "true", "boolean"), ("r1", a0 + ".b[0]", "$.a[].b[]", "v", None, "null"),
+        ("r1", a1, "$.a[]", "x", "2", "number"), ("r1", a1 + ".b[0]", "$.a[].b[]", "v", "t", "string"), ("r2", "$.c[0]", "$.c[]", "t[0]", "p", "string"), ("r2", "$.c[0]", "$.c[]", "t[1]", "q", "string"),
+    }

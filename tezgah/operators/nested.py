@@ -381,3 +381,66 @@ def kinds(objects: DataFrame) -> DataFrame:
 def flat_table(objects: DataFrame, kind: str, schema: str) -> DataFrame:
     """The flat table of one kind: record, parent and own path, and the columns of ``schema`` parsed from ``body`` (see ``nested_objects``)."""
     return kinds(objects).where(F.col("kind") == kind).select("record_id", "parent_path", "node_path", F.from_json("body", schema).alias("o")).select("record_id", "parent_path", "node_path", "o.*")
+
+
+def _fields(value, path: str):
+    """Scalars of an object and of the plain objects and arrays in it; objects in arrays are rows of their own."""
+    if isinstance(value, str) and value.lstrip()[:1] in ("{", "["):
+        try:
+            inner = json.loads(value, parse_int=_Number, parse_float=_Number, object_pairs_hook=_Pairs)
+        except ValueError:
+            inner = None
+        if isinstance(inner, (_Pairs, list)) and not isinstance(value, _Number):
+            yield from _fields(inner, path)
+            return
+    if isinstance(value, _Pairs):
+        for k, v in value.items:
+            yield from _fields(v, f"{path}.{k}" if path else k)
+    elif isinstance(value, list):
+        for i, v in enumerate(value):
+            if not isinstance(v, _Pairs):
+                yield from _fields(v, f"{path}[{i}]")
+    elif value is None or isinstance(value, bool):
+        yield path, None if value is None else str(value).lower(), "null" if value is None else "boolean"
+    else:
+        yield path, str(value), "number" if isinstance(value, _Number) else "string"
+
+
+class _Number(str):
+    """A number as it is written."""
+
+
+class _Pairs:
+    def __init__(self, items: list):
+        self.items = items
+
+
+def _field_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keys = ["src", "record_id", "parent_path", "node_path", "kind"]
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            b = batch.slice(at, 2000)
+            row, out = [], []
+            for i, body in enumerate(b.column("body").to_pylist()):
+                x = json.loads(body, parse_int=_Number, parse_float=_Number, object_pairs_hook=_Pairs, strict=False)
+                if isinstance(x, str) and not isinstance(x, _Number):
+                    x = json.loads(x, parse_int=_Number, parse_float=_Number, object_pairs_hook=_Pairs, strict=False)
+                for f in _fields(x, ""):
+                    row.append(i)
+                    out.append(f)
+            cols = list(zip(*out)) if out else [[], [], []]
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(k).take(take) for k in keys] + [pa.array(list(c), pa.string()) for c in cols], names=[*keys, "field", "value", "type"])
+
+
+def flat_fields(objects: DataFrame) -> DataFrame:
+    """The flat tables of all kinds, one row per scalar field: record, parent and own path, kind, the field's path in the object, its value
+    as text (null for null) and its type. ``objects``: with ``body`` (see ``nested_objects``)."""
+    o = written(kinds(objects), "kinds")
+    names = "src string, record_id string, parent_path string, node_path string, kind string, field string, value string, type string"
+    rows = o.select("src", "record_id", "parent_path", "node_path", "kind", "body").mapInArrow(_field_rows, names)
+    # a single object where other records hold an array is a row of its own
+    below = o.select(F.col("src").alias("s"), F.col("kind").alias("k")).distinct()
+    at = F.concat("kind", F.lit("."), F.regexp_replace("field", r"\[\d+\]", "[]"))
+    inner = (F.col("src") == F.col("s")) & F.col("k").startswith(F.concat("kind", F.lit("."))) & at.startswith(F.concat(F.regexp_replace("k", r"\[\]$", ""), F.lit(".")))
+    return rows.join(F.broadcast(below), inner, "left_anti")

@@ -47,6 +47,12 @@ def p2_hard_profile(spark: SparkSession, d: str) -> DataFrame:
     return nested.flat_table(slots, "$.hard_profile[]", "slot string, subtype string, focus string").distinct()
 
 
+@query()
+def p2_fields(spark: SparkSession, d: str) -> DataFrame:
+    """The flat tables of all kinds, as key/value rows."""
+    return nested.flat_fields(nested_all(spark, d, True)).distinct()
+
+
 # ------------------------------------------------------------------ counts, quotas, slices
 
 _AXES = {"families": ["split_name", "target_feature", "domain", "register_name", "polarity", "temporal_frame", "scope_target", "generator_id"], "slots": ["target_split", "generator_id", "target_feature", "domain", "register_name", "generalization_bucket", "status"]}
