@@ -3,6 +3,7 @@
 import itertools
 import random
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,17 +50,81 @@ def test_words():
 def test_bit_sliced_distances():
     r = np.random.default_rng(2)
     for n, blocks in ((1, 1), (2, 1), (70, 3), (300, 5), (500, 200)):
-        base = r.integers(0, 256, (blocks, 32), dtype=np.uint8)
         block = r.integers(0, blocks, n)
-        sk = base[block] ^ (r.random((n, 32)) < 0.3) * r.integers(0, 256, (n, 32), dtype=np.uint8)
-        sk = sk.astype(np.uint8)
-        i, j = near_dup.close_pairs(block, sk, 60)
+        base = r.random((blocks, near_dup.BITS)) < 0.05
+        x = np.where((r.random(n) < 0.5)[:, None], base[block], r.random((n, near_dup.BITS)) < 0.05)
+        e = x | (r.random(x.shape) < 0.3)
+        slack, home, tile = r.integers(0, 8, n), r.random(n) < 0.5, np.where(block % 2, r.integers(0, 2, n), -1)
+        i, j = near_dup.close_pairs(block, *(np.packbits(v, axis=1, bitorder="little") for v in (x, e)), slack, home, tile)
         got = sorted((min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist()))
-        want = [(a, b) for a, b in itertools.combinations(range(n), 2) if block[a] == block[b] and np.unpackbits(sk[a] ^ sk[b]).sum() <= 60]
-        assert got == want
-
-
-def records(vocabulary, n=150, seed=3):
+        met = [(a, b) for a, b in itertools.combinations(range(n), 2) if block[a] == block[b] and (home[a] or home[b]) and (tile[a] < 0 or tile[a] != tile[b])]
+        assert got == [(a, b) for a, b in met if (x[a] & ~e[b]).sum() <= slack[a] and (x[b] & ~e[a]).sum() <= slack[b]]
+
+
+def slips_between(a, b):
+    """Letters put in, left out or exchanged, and neighbours that changed places, by the plain table."""
+    d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+@lru_cache(None)
+def same_word(a, b):
+    short = min(len(a), len(b))
+    if a == b or a.isdigit() or b.isdigit() or short < 4 or abs(len(a) - len(b)) > 2:
+        return a == b
+    return slips_between(a, b) <= (1 if short < 6 else 2)
+
+
+def plain_agreement(a, b):
+    """Largest matching by augmenting paths over all pairs of words; shares no code with the operator."""
+    to, at = [[j for j, y in enumerate(b) if same_word(x, y)] for x in a], {}
+
+    def free(i, seen):
+        for j in to[i]:
+            if j not in seen:
+                seen.add(j)
+                if j not in at or free(at[j], seen):
+                    at[j] = i
+                    return True
+        return False
+
+    return sum(free(i, set()) for i in range(len(a))) / max(len(a), len(b))
+
+
+def test_slips_of_words():
+    r = random.Random(23)
+    for _ in range(3000):
+        a = "".join(r.choice("abc1") for _ in range(r.randint(1, 12)))
+        b = list(a)
+        for _ in range(r.randint(0, 3)):
+            k = r.randrange(len(b) + 1)
+            b[k : k + r.randint(0, 2)] = r.choice(["", "a", "cb"])
+        b = "".join(b)
+        assert words.near(a, b) == same_word(a, b) and (a == b or bool(words.near_many([a], [b])[0]) == same_word(a, b))
+        if a != b and same_word(a, b):  # such words have a rest in common
+            at, key = near_dup.rests([a, b])
+            assert set(key[at == 0].tolist()) & set(key[at == 1].tolist())
+    long = "".join(r.choice("abcdefgh") for _ in range(40))
+    for b in (long[:7] + long[8:31] + long[32:], long[:3] + "x" + long[3:20] + "y" + long[20:], long[1:], long + "zz", long[:9] + long[10] + long[9] + long[11:25] + long[26] + long[25] + long[27:]):
+        at, key = near_dup.rests([long, b])
+        assert words.near(long, b) and set(key[at == 0].tolist()) & set(key[at == 1].tolist())
+
+
+def test_largest_matching():
+    r = random.Random(24)
+    for _ in range(500):
+        some = ["".join(r.choice("ab") for _ in range(r.choice([4, 5, 6, 7]))) for _ in range(6)]
+        a, b = ([r.choice(some) for _ in range(r.randint(1, 7))] for _ in range(2))
+        assert abs(near_dup.agreement(a, b) - plain_agreement(a, b)) < 1e-9
+    assert near_dup.agreement(["abcdefg"], ["axcdeyg"]) == 1  # two slips, wherever they are
+
+
+def records(vocabulary, n=70, seed=3):
     r = random.Random(seed)
     rows = [(f"o{i:04}", " ".join(r.choice(vocabulary) for _ in range(r.randint(8, 20)))) for i in range(n)]
     for i in range(n // 2):
@@ -76,7 +141,7 @@ def records(vocabulary, n=150, seed=3):
 
 def brute_pairs(rows, agree=0.7):
     bags = {i: words.one(t) for i, t in rows if t and words.one(t)}
-    return {(a, b) for a, b in itertools.combinations(sorted(bags), 2) if near_dup.agreement(bags[a], bags[b]) >= agree}
+    return {(a, b) for a, b in itertools.combinations(sorted(bags), 2) if len(bags[a]) >= agree * len(bags[b]) - 1e-9 and len(bags[b]) >= agree * len(bags[a]) - 1e-9 and plain_agreement(bags[a], bags[b]) >= agree - 1e-12}
 
 
 @pytest.mark.parametrize("tile", [2048, 8])
@@ -86,7 +151,7 @@ def test_near_duplicates_find_what_all_pairs_find(spark, vocabulary, monkeypatch
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "id string, text string, cls int, bag string")
     got = {(r["id_a"], r["id_b"]) for r in near_dup.near_duplicates(df).collect()}
     want = brute_pairs(rows)
-    assert len(want) > 40 and got == want
+    assert len(want) > 20 and got == want
 
 
 def common_words(seed=17, per=60):
@@ -149,14 +214,14 @@ def test_agreement():
 
 
 def test_chunks_ignore_order_and_edits_elsewhere():
-    a = "barkodlarda yükleyen tebligatımızı toplayarak hemen"
-    assert chunks.overlap(a, " ".join(reversed(a.split()))) == 1
-    assert chunks.overlap(a, a + " fazladan") > 0.8
-    assert "".join(chunks.cut(a)) == a.replace(" ", "") and chunks.cut("ab") == ["ab"]
+    a = "barkodlarda yükleyen tebligatımızı toplayarak hemen".split()
+    assert chunks.overlap(a, a[::-1]) == 1 and chunks.overlap(a, []) == 0
+    assert 0.8 < chunks.overlap(a, [*a, "fazladan"]) < 1
+    assert chunks.overlap(["toplayarak", "hemen"], ["toplayrak", "hemen"]) == 14 / 15
 
 
 def test_overlaps_across_splits(spark, vocabulary):
-    rows = records(vocabulary, 150, 5)
+    rows = records(vocabulary, 90, 5)
     r = random.Random(6)
     split = {i: r.choice(["train", "Train ", "TRAIN", "dev", "development", "sealed_test", "Test", None, "other"]) for i, _ in rows}
     side = {"train": "t", "dev": "e", "development": "e", "sealed_test": "e", "test": "e"}

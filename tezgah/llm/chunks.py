@@ -1,10 +1,14 @@
 """Same or near-same records across splits (problem 4).
 
-Candidates are the pairs of problem 1 (rarest slip-proof tokens, kept by count, so that 7 of 10 words guarantee a meeting one) of
-which one record stands in the training split and the other in an evaluation split; they are checked word by word. Of the
-pairs that agree, the overlap is measured: records are cut where a rolling hash of the last letters says so, each word by itself,
-so that neither the order of the words nor an edit elsewhere moves a cut, and the lengths of the shared chunks are summed
-into a fraction. The fraction is reported and rejects no pair.
+Records are cut into chunks at places their content defines: a rolling hash runs over the folded letters, a chunk ends where a word
+ends, and its digest is the hash of its letters. Since any order of the words and three changed words of ten still make the same
+record, longer chunks (ends only where the hash is divisible by some number) can't be kept: no common one is left. A
+chunk has more digests, those of the chunks a slip apart (``near_dup.lexicon``), so that a slip spoils none.
+
+Digests are joined across the splits: a row of the training split and one of an evaluation split meet under the digest of one of the
+first chunks, in the order by weight, that they must share (``near_dup`` says which these are). In the join, the lengths of
+the shared chunks, in words, are summed up over the two records' bit sets of chunks and digests; pairs with too little shared length go
+no further. Digests that stand in many training records are cut into tiles. What is left is checked word by word.
 
 Edge cases: families without a split, null and blank texts give no pair. Repeated rows and ids count once; copies of one text
 are one class until pairs of records are asked for. Extra columns are ignored.
@@ -20,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tezgah.llm.near_dup import agreement, bags, candidates, classes
-from tezgah.llm.words import mix
+from tezgah.llm import near_dup
+from tezgah.llm.near_dup import agreement, bags, classes, coded_classes, heavy_keys, spread
 from tezgah.session import written
 
-#: Letters of the rolling hash, least length of a chunk, and one cut in how many places.
-WINDOW, LEAST, ONE_IN = 3, 3, 8
+WORDS = near_dup.BITS // 64
+DIGESTS = "key bigint, cls bigint, n int, slack int, home boolean, " + ", ".join(f"{v}{k} bigint" for v in "xe" for k in range(WORDS))
 #: Spellings of the splits.
 SPLITS = {"train": "train", "development": "development", "dev": "development", "sealed_test": "sealed_test", "test": "sealed_test"}
 
@@ -39,34 +43,36 @@ def split_of(column: str) -> F.Column:
     return out
 
 
-
-
-def cut(bag: str) -> list[str]:
-    """Chunks of the words of a bag."""
-    code = np.frombuffer(bag.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    space = np.flatnonzero(code == 32)
-    marks = np.zeros(len(code), bool)
-    if len(code) > WINDOW:
-        with np.errstate(over="ignore"):
-            roll = mix((code[:-3] * np.uint64(31) + code[1:-2]) * np.uint64(31) + code[2:-1])  # the letters before place 3, 4, ...
-        marks[WINDOW:] = roll % np.uint64(ONE_IN) == 0
-    out, begin = [], 0
-    for end in [*space.tolist(), len(code)]:
-        s = begin
-        for k in (np.flatnonzero(marks[begin + WINDOW : end - 1]) + begin + WINDOW).tolist() if end - begin > WINDOW + 1 else ():
-            if k - s >= LEAST:
-                out.append(bag[s:k])
-                s = k
-        out.append(bag[s:end])
-        begin = end + 1
-    return out
-
-
-def overlap(a: str, b: str) -> float:
-    """Shared chunk lengths over the length of the longer bag, spaces aside."""
-    x, y = Counter(cut(a)), Counter(cut(b))
-    shared = sum(len(k) * v for k, v in (x & y).items())
-    return shared / max(1, len(a) - a.count(" "), len(b) - b.count(" "))
+def overlap(a: list[str], b: list[str]) -> float:
+    """Letters of the shared chunks, equal ones or a slip apart, over the letters of the longer record."""
+    x, y = Counter(a), Counter(b)
+    both = x & y
+    shared = sum(len(w) * c for w, c in both.items())
+    free, other = x - both, y - both
+    for w, partners in near_dup._links(list(free), list(other)).items():
+        for v in partners:
+            c = min(free[w], other[v])
+            free[w] -= c
+            other[v] -= c
+            shared += c * min(len(w), len(v))
+    return shared / max(1, sum(map(len, a)), sum(map(len, b)))
+
+
+def _digest_rows(agree: float):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2000):
+                b = batch.slice(k, 2000)
+                row, code, of, near_code, n = near_dup.unpacked(b)
+                slack = n - np.ceil(agree * n - 1e-9).astype(np.int64)
+                x = near_dup._bits(row, code, len(n))
+                e = x | near_dup._bits(row[of], near_code, len(n))
+                r, key, home = near_dup.keys(row, code, of, near_code, n, slack)
+                bits = [v.view(np.int64).reshape(len(n), WORDS)[r, k] for v in (x, e) for k in range(WORDS)]
+                cols = [pa.array(key), b.column("cls").take(pa.array(r)), pa.array(n[r].astype(np.int32)), pa.array(slack[r].astype(np.int32)), pa.array(home), *map(pa.array, bits)]
+                yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in DIGESTS.split(", ")])
+
+    return rows
 
 
 def _measured(agree: float):
@@ -74,8 +80,8 @@ def _measured(agree: float):
         for t in batches:
             out = []
             for a, b, x, y in zip(*(t.column(c).to_pylist() for c in ("train_cls", "eval_cls", "bag_a", "bag_b"))):
-                if (s := agreement(x.split(" "), y.split(" "), agree)) >= agree:
-                    out.append((a, b, overlap(x, y), s))
+                if (s := agreement(x.split(" "), y.split(" "), agree)) >= agree - 1e-12:
+                    out.append((a, b, overlap(x.split(" "), y.split(" ")), s))
             cols = list(zip(*out)) if out else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["train_cls", "eval_cls", "overlap", "agreement"])
 
@@ -87,12 +93,17 @@ def class_overlaps(rows: DataFrame, agree: float = 0.7) -> DataFrame:
     ``train_cls, eval_cls, overlap, agreement``."""
     cls = classes(rows)
     side = written(rows.groupBy("cls").agg(F.max(F.col("is_train").cast("int")).alias("t"), F.max((~F.col("is_train")).cast("int")).alias("e")), "sides")
-    of = lambda c: side.select(F.col("cls").alias(c), F.col("t").alias(f"t_{c}"), F.col("e").alias(f"e_{c}"))
-    met = candidates(cls, agree).join(of("a"), "a").join(of("b"), "b")
-    way = lambda x, y: F.when((F.col(f"t_{x}") == 1) & (F.col(f"e_{y}") == 1), F.struct(F.col(x).alias("train_cls"), F.col(y).alias("eval_cls")))
-    pairs = met.select(F.explode(F.array_compact(F.array(way("a", "b"), way("b", "a")))).alias("p")).select("p.train_cls", "p.eval_cls")
+    digests = written(coded_classes(cls).mapInArrow(_digest_rows(agree), DIGESTS).join(side, "cls"), "digests")
+    tiled = digests.join(heavy_keys(digests.where("t = 1"), near_dup.TILE), "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    train = tiled.where("t = 1").withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")).alias("a")
+    held = tiled.where("e = 1").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).alias("b")
+    lacks = lambda p, q: sum((F.bit_count(F.col(f"{p}.x{k}").bitwiseAND(F.bitwise_not(F.col(f"{q}.e{k}")))) for k in range(WORDS)), F.lit(0))
+    shared = (F.col("a.n") - lacks("a", "b") >= F.col("a.n") - F.col("a.slack")) & (F.col("b.n") - lacks("b", "a") >= F.col("b.n") - F.col("b.slack"))
+    fits = F.least("a.n", "b.n") >= F.ceil(F.lit(agree) * F.greatest("a.n", "b.n") - 1e-9)
+    met = train.join(held, (F.col("a.key") == F.col("b.key")) & (F.col("a.tile") == F.col("b.tile")) & (F.col("a.cls") != F.col("b.cls")) & (F.col("a.home") | F.col("b.home")) & fits & shared)
+    pairs = met.select(F.col("a.cls").alias("train_cls"), F.col("b.cls").alias("eval_cls")).distinct()
     bag = lambda c, n: cls.select(F.col("cls").alias(c), F.col("bag").alias(n))
-    near = pairs.join(bag("train_cls", "bag_a"), "train_cls").join(bag("eval_cls", "bag_b"), "eval_cls").mapInArrow(_measured(agree), "train_cls bigint, eval_cls bigint, overlap double, agreement double")
+    near = spread(pairs.join(bag("train_cls", "bag_a"), "train_cls").join(bag("eval_cls", "bag_b"), "eval_cls"), "train_cls", "eval_cls").mapInArrow(_measured(agree), "train_cls bigint, eval_cls bigint, overlap double, agreement double")
     same = side.where("t = 1 and e = 1").select(F.col("cls").alias("train_cls"), F.col("cls").alias("eval_cls"), F.lit(1.0).alias("overlap"), F.lit(1.0).alias("agreement"))
     return near.unionByName(same)
 

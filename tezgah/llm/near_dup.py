@@ -4,18 +4,20 @@ Two records are near duplicates if at least ``agree`` of the words of the longer
 order, each word as often as it stands; a slip of a letter or two makes no other word. Equal word bags are one class; work
 is done on classes, and copies are expanded only where a result asks for pairs of records.
 
-1. Words that differ by a slip are linked, over the vocabulary: words a slip or two apart agree once a letter or two are left out
-   of each. The connected words are one token, so that words that are partners always have the same token (words that aren't may
-   have it too: tokens only choose what is checked).
-2. Of a class of n words, the rarest n - ceil(``agree`` n) + 1 tokens, each as often as it stands, are kept, in one order for all
-   classes: two classes that agree have a kept token in common, however frequent their tokens are.
-3. Classes with a kept token in common form a block, by length: lengths that can agree meet. In a block, 256-bit sketches (each
-   token flips one bit) are compared bit-sliced: bit plane j holds bit j of 64 records per machine word; the planes are compared
-   with themselves shifted by d records, the differences of all pairs at distance d are summed by carry-save adders into vertical
-   counters, and words of lanes are abandoned as soon as all their counters exceed the radius. Classes that agree differ in at
-   most twice the words that needn't agree, so the radius follows from the longest length of the block and loses no pair. Blocks
-   of more than ``TILE`` rows are cut into tiles, and each pair of tiles is a task of its own.
-4. Pairs within the radius are checked exactly, word by word.
+1. Lexicon. Words a slip apart are linked, over the vocabulary: such words agree once a letter or two are left out of each, so
+   they meet under a common rest. A word's weight is its frequency and that of the words linked to it, and all words stand in one
+   order by weight.
+2. Blocks. A class of n words may lack k = n - ceil(``agree`` n) partners. Of all words that two agreeing classes match, take the
+   first in the order: in its own class at most k words stand before it, and so do in the other. So the first k + 1 words of a class
+   are its keys ("at home"), and a class visits the keys of words linked to its own that stand before these and not behind its
+   k + 1st word. Two classes that agree meet under a key, one of them at home. Nothing else decides which pairs are compared.
+3. Comparison. Each class has 256 bits ``x``, one set by each of its words, and 256 bits ``e``, set by each word that is a partner of
+   one of its words. Words of ``x`` that aren't in the other's ``e`` have no partner: their number is a distance, from each side, and
+   may not exceed k. It is computed bit-sliced: bit plane j holds bit j of 64 records per machine word; the planes are compared with
+   themselves shifted by d records, the distances of all pairs d places apart are summed by carry-save adders into vertical
+   counters, and words of lanes are abandoned as soon as all their counters exceed the radius. No pair that agrees is lost.
+   Keys of more than ``TILE`` rows are cut into tiles, and each pair of tiles is a task of its own.
+4. Pairs within the radius are checked exactly: the largest one-to-one matching of their words.
 
 Edge cases: null and blank texts have no words and give no pair. Repeated rows count once; an id with several texts stands
 for each of them. Texts of one word pair only with equal words up to slips. Extra columns are ignored.
@@ -23,120 +25,188 @@ for each of them. Texts of one word pair only with equal words up to slips. Extr
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from math import ceil, log
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tezgah.llm.leak import near
-from tezgah.llm.words import mix, slices, words
+from tezgah.llm.words import mix, near, near_many, slices, words
 from tezgah.session import written
 
 BITS = 256
 TILE = 2048
-#: Words of more letters meet by length alone, since the ways of leaving out two letters grow with the square of the length.
+#: Planes added up before lanes are abandoned.
+GROUP = 64
+#: Words of more letters meet by a fifth that is left whole, since the ways of leaving out two letters grow with the square of the length.
 LONG = 24
-GROUP = 32
+#: Bits of a word's code that name it; those above hold its place in the order.
+NAME = 40
+_P = 0x9E3779B97F4A7C15
+_MASK = (1 << 64) - 1
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text", 300_000):
+        for part in slices(batch, "text"):
             w = words(part.column("text"))
-            ids = part.column("id").to_pylist()
-            rows = [(ids[i], sorted(w.word(k) for k in range(w.first[i], w.first[i + 1]))) for i in range(part.num_rows) if w.first[i + 1] > w.first[i]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([" ".join(r[1]) for r in rows], pa.string())], names=["id", "bag"])
+            every, first = w.strings(), w.first.tolist()
+            bag = [" ".join(sorted(every[a:b])) for a, b in zip(first, first[1:])]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(bag, pa.string())], names=["id", "bag"])
 
 
 def bags(records: DataFrame) -> DataFrame:
     """``records``: ``id, text``. One row per distinct id and bag of words: ``id, bag, cls`` (64-bit name of the bag)."""
     some = records.select(F.col("id").cast("string").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null and trim(text) <> ''")
-    return written(some.mapInArrow(_bags, "id string, bag string").distinct().withColumn("cls", F.xxhash64("bag")), "bags")
+    return written(some.mapInArrow(_bags, "id string, bag string").where("bag <> ''").distinct().withColumn("cls", F.xxhash64("bag")), "bags")
 
 
 def classes(bag_rows: DataFrame) -> DataFrame:
     return written(bag_rows.groupBy("cls").agg(F.min("bag").alias("bag")), "classes")
 
 
-def least_words(n: int, agree: float) -> int:
-    """Of n words, how many must agree."""
-    return ceil(agree * n - 1e-9)
-
-
-def _left_out(w: str) -> set[str]:
-    """The word with as many letters left out as a slip may spoil; two words a slip apart have one of these in common."""
-    if len(w) < 4 or w.isdigit():
-        return set()
-    if len(w) > LONG - 2:
-        long = {f"#{len(w) + k}" for k in range(3)}
-        if len(w) > LONG:
-            return long
-    else:
-        long = set()
-    once = {w[:k] + w[k + 1 :] for k in range(len(w))}
-    if len(w) < 6:
-        return {w} | once
-    return long | {w} | once | {x[:k] + x[k + 1 :] for x in once for k in range(len(x))}
-
-
-def _left_out_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def rests(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the word, 64-bit name of a rest): words a slip or two apart have a rest in common. All words of a length at once: the
+    polynomial hash of a word without letters i and j is put together from prefix sums."""
+    by_length = defaultdict(list)
+    for k, w in enumerate(some):
+        if len(w) >= 4 and not w.isdigit():
+            by_length[len(w)].append(k)
+    at, key = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    back = [np.uint64(pow(_P, -d, 1 << 64)) for d in range(3)]
+
+    def add(rows: np.ndarray, h: np.ndarray, tag: int) -> None:
+        at.append(rows)
+        key.append(mix(h + np.uint64(tag * 0xD6E8FEB86659FD93 & _MASK)))
+
+    with np.errstate(over="ignore"):
+        for n, rows in by_length.items():
+            rows = np.array(rows)
+            code = np.array([some[k] for k in rows], f"<U{n}").view(np.uint32).reshape(len(rows), n).astype(np.uint64)
+            power = np.cumprod(np.array([1] + [_P] * n, np.uint64), dtype=np.uint64)
+            sums = np.concatenate([np.zeros((len(rows), 1), np.uint64), np.cumsum(code * power[:n], axis=1, dtype=np.uint64)], axis=1)
+            if n <= LONG:
+                add(rows, sums[:, n], n)
+                for i in range(n):
+                    add(rows, sums[:, i] + (sums[:, n] - sums[:, i + 1]) * back[1], n - 1)
+                if n >= 6:
+                    for i in range(n):
+                        for j in range(i + 1, n):
+                            add(rows, sums[:, i] + (sums[:, j] - sums[:, i + 1]) * back[1] + (sums[:, n] - sums[:, j + 1]) * back[2], n - 2)
+            if n > LONG - 2:  # two slips spoil at most four of five parts and shift a part by at most two places
+                for of in range(n - 2, n + 3):
+                    cut = [of * f // 5 for f in range(6)]
+                    for f in range(5):
+                        for a in range(max(0, cut[f] - 2), min(n - (cut[f + 1] - cut[f]), cut[f] + 2) + 1):
+                            add(rows, (sums[:, a + cut[f + 1] - cut[f]] - sums[:, a]) * np.uint64(pow(_P, -a, 1 << 64)), 1000 + of * 5 + f)
+    return np.concatenate(at), np.concatenate(key)
+
+
+def _rest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for at in range(0, b.num_rows, 2000):
-            word, key = [], []
-            for w in b.column("word").slice(at, 2000).to_pylist():
-                k = _left_out(w)
-                word += [w] * len(k)
-                key += k
-            yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(key, pa.string())], names=["word", "key"])
+        for k in range(0, b.num_rows, 4000):
+            word = b.column("word").slice(k, 4000)
+            at, key = rests(word.to_pylist())
+            at, key = distinct(at, key.view(np.int64))
+            yield pa.RecordBatch.from_arrays([word.take(pa.array(at)), pa.array(key)], names=["word", "rest"])
 
 
 def _near_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield b.filter(pa.array([near(x, y) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())], pa.bool_()))
+        for k in range(0, b.num_rows, 20_000):
+            part = b.slice(k, 20_000)
+            yield part.filter(pa.array(near_many(part.column("x").to_pylist(), part.column("y").to_pylist())))
+
+
+def lexicon(entries: DataFrame) -> DataFrame:
+    """``entries``: a row per word that stands in a class, with column ``word``. One row per word: ``word, code, near``. The code is
+    the word's place in the order and its name; ``near`` holds the codes of the words a slip apart."""
+    vocabulary = written(entries.groupBy("word").agg(F.count("*").alias("df")), "vocabulary")
+    rest = vocabulary.select("word").mapInArrow(_rest_rows, "word string, rest bigint")
+    met = rest.select("rest", F.col("word").alias("x")).join(rest.select("rest", F.col("word").alias("y")), "rest").where("x < y").select("x", "y").distinct()
+    slip = written(met.mapInArrow(_near_rows, "x string, y string"), "slips")
+    both = slip.unionByName(slip.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    more = both.join(vocabulary.withColumnRenamed("word", "y"), "y").groupBy("x").agg(F.sum("df").alias("more"))
+    weight = F.least(F.col("df") + F.coalesce("more", F.lit(0)), F.lit((1 << (62 - NAME)) - 1))
+    code = F.shiftleft(weight, NAME).bitwiseOR(F.xxhash64("word").bitwiseAND(F.lit((1 << NAME) - 1)))
+    coded = written(vocabulary.join(more.withColumnRenamed("x", "word"), "word", "left").select("word", code.alias("code")), "codes")
+    near_codes = both.join(coded.select(F.col("word").alias("y"), F.col("code").alias("near")), "y").groupBy("x").agg(F.collect_list("near").alias("near"))
+    return written(coded.join(near_codes.withColumnRenamed("x", "word"), "word", "left").select("word", "code", F.coalesce("near", F.array().cast("array<bigint>")).alias("near")), "lexicon")
+
+
+def coded_classes(cls: DataFrame) -> DataFrame:
+    """One row per class: ``cls, w``, an array of the code and the near codes of each of its words."""
+    entries = cls.select("cls", F.explode(F.split("bag", " ")).alias("word"))
+    return entries.join(lexicon(entries), "word").groupBy("cls").agg(F.collect_list(F.struct("code", "near")).alias("w"))
+
+
+
+def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs of two columns."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
+def _bits(row: np.ndarray, code: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros((n, BITS), np.uint8)
+    out[row, (mix(code.view(np.uint64)) % np.uint64(BITS)).astype(np.int64)] = 1
+    return np.packbits(out, axis=1, bitorder="little")
+
+
+def keys(row: np.ndarray, code: np.ndarray, near_of: np.ndarray, near_code: np.ndarray, n: np.ndarray, slack: np.ndarray):
+    """Rows (class, key, at home) of classes laid end to end. ``row``: class of each word; ``near_of``: word of each near code."""
+    order = np.lexsort((code, row))
+    begin = np.cumsum(n) - n
+    last = code[order][begin + slack]
+    home = np.flatnonzero(code <= last[row])
+    visit = np.flatnonzero((near_code < code[near_of]) & (near_code <= last[row[near_of]]))
+    r = np.concatenate([row[home], row[near_of[visit]]])
+    k = np.concatenate([code[home], near_code[visit]])
+    away = np.concatenate([np.zeros(len(home), np.int64), np.ones(len(visit), np.int64)])
+    order = np.lexsort((away, k, r))
+    r, k, away = r[order], k[order], away[order]
+    new = np.ones(len(r), bool)
+    new[1:] = (r[1:] != r[:-1]) | (k[1:] != k[:-1])
+    return r[new], k[new], away[new] == 0
+
+
+def unpacked(b: pa.RecordBatch):
+    """Of a batch of coded classes: class of each word, code, word of each near code, near code, words per class."""
+    w = b.column("w")
+    n = np.asarray(w.value_lengths().to_numpy(zero_copy_only=False), np.int64)
+    flat = w.flatten()
+    code = flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    near = flat.field(1)
+    of = np.repeat(np.arange(len(code)), np.asarray(near.value_lengths().to_numpy(zero_copy_only=False), np.int64))
+    return np.repeat(np.arange(len(n)), n), code, of, near.flatten().to_numpy(zero_copy_only=False).astype(np.int64), n
+
+
+def _key_rows(agree: float):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2000):
+                b = batch.slice(k, 2000)
+                row, code, of, near_code, n = unpacked(b)
+                slack = n - np.ceil(agree * n - 1e-9).astype(np.int64)
+                x = _bits(row, code, len(n))
+                e = x | _bits(row[of], near_code, len(n))
+                r, key, home = keys(row, code, of, near_code, n, slack)
+                sketch = np.concatenate([x, e], axis=1)[r]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key), b.column("cls").take(pa.array(r)), pa.array(n[r].astype(np.int32)), pa.array(home), pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 4), len(r), [None, pa.py_buffer(np.ascontiguousarray(sketch))]).cast(pa.binary())],
+                    names=["key", "cls", "n", "home", "sketch"],
+                )
 
+    return rows
 
-def tokens(cls: DataFrame) -> DataFrame:
-    """One row per class and word occurrence: ``cls, n`` (words of the class), ``token``. Words that differ by a slip have the same
-    token, and the k-th occurrence of a token in a class is a token of its own."""
-    from tezgah.llm.components import components
 
-    entries = cls.select("cls", F.explode(F.split("bag", " ")).alias("word"))
-    vocabulary = written(entries.select("word").distinct(), "vocabulary")
-    keys = written(vocabulary.mapInArrow(_left_out_rows, "word string, key string").select("word", F.xxhash64("key").alias("key")), "left-out")
-    several = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    met = keys.join(several, "key")
-    pairs = met.select("key", F.col("word").alias("x")).join(met.select("key", F.col("word").alias("y")), "key").where("x < y").select("x", "y").distinct()
-    slips = pairs.mapInArrow(_near_rows, "x string, y string").select(F.xxhash64("x").alias("x"), F.xxhash64("y").alias("y"))
-    label = components(slips)
-    named = entries.select("cls", F.xxhash64("word").alias("node")).join(label, "node", "left").select("cls", F.coalesce("component", "node").alias("word"))
-    count = named.groupBy("cls", "word").agg(F.count("*").alias("times"))
-    n = cls.select("cls", F.size(F.split("bag", " ")).alias("n"))
-    each = count.select("cls", "word", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("k"))
-    return written(each.select("cls", F.xxhash64("word", "k").alias("token")).join(n, "cls"), "tokens")
-
-
-def rarest(entries: DataFrame, agree: float) -> DataFrame:
-    """``entries``: ``cls, n, token``. Keeps of each class the rarest tokens, so many that any class that agrees has one of them among
-    its own; adds the token's frequency ``df``. Tokens of a single class count, but are left out of the result."""
-    df = entries.groupBy("token").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("cls").orderBy("df", "token"))
-    x = entries.join(df, "token").withColumn("place", place)
-    return x.where((F.col("place") <= F.col("n") - F.ceil(F.lit(agree) * F.col("n") - 1e-9) + 1) & (F.col("df") > 1)).select("cls", "n", "token", "df")
-
-
-def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """256 bits of a class; each of its tokens flips one."""
-    for b in batches:
-        out = np.zeros((b.num_rows, BITS), np.uint8)
-        t = b.column("tokens")
-        bit = (mix(t.flatten().to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(BITS)).astype(np.int64)
-        row = np.repeat(np.arange(b.num_rows), np.asarray(t.value_lengths().to_numpy(zero_copy_only=False), np.int64))
-        np.bitwise_xor.at(out, (row, bit), 1)
-        yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array([x.tobytes() for x in np.packbits(out, axis=1)], pa.binary())], names=["cls", "sketch"])
+KEYED = "key bigint, cls bigint, n int, home boolean, sketch binary"
 
 
 def _full(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,72 +232,79 @@ def _carry_save(x: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _exceeds(bits: list[np.ndarray], radius: int) -> np.ndarray:
-    """Lanes whose counter is greater than the radius."""
-    more, same = np.zeros_like(bits[0]), np.full_like(bits[0], ~np.uint64(0))
-    for k in range(max(len(bits), radius.bit_length()) - 1, -1, -1):
-        b = bits[k] if k < len(bits) else np.zeros_like(bits[0])
-        if radius >> k & 1:
-            same &= b
-        else:
-            more |= same & b
-            same &= ~b
+def _sum(total: list[np.ndarray], add: list[np.ndarray]) -> list[np.ndarray]:
+    """Sum of two vertical counters."""
+    if not total:
+        return add
+    none, out = np.zeros_like(add[0]), []
+    carry = none
+    for k in range(max(len(total), len(add)) + 1):
+        s, carry = _full(total[k] if k < len(total) else none, add[k] if k < len(add) else none, carry)
+        out.append(s)
+    return out
+
+
+def _exceeds(bits: list[np.ndarray], radius: np.ndarray) -> np.ndarray:
+    """Lanes whose counter is greater than their radius; ``radius``: planes of a vertical number."""
+    none = np.zeros_like(bits[0])
+    more, same = none, ~none
+    for k in range(max(len(bits), len(radius)) - 1, -1, -1):
+        b, r = bits[k] if k < len(bits) else none, radius[k] if k < len(radius) else none
+        more = more | (same & b & ~r)
+        same = same & ~(b ^ r)
     return more
 
 
-def close_pairs(block: np.ndarray, sketch: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (i, j) of the same block whose sketches differ in at most ``radius`` bits. ``sketch``: rows of bytes."""
+def _planes(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as planes, a word of 64 rows each and one word of room."""
+    n = bits.shape[0]
+    out = np.zeros((bits.shape[1], (n + 63) // 64 + 1), np.uint64)
+    out.view(np.uint8)[:, : (n + 7) // 8] = np.packbits(bits.T, axis=1, bitorder="little")
+    return out
+
+
+def close_pairs(block: np.ndarray, x: np.ndarray, e: np.ndarray, slack: np.ndarray, home: np.ndarray, tile: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of the same block, one of them at home, of which neither has more than ``slack`` bits of ``x`` that aren't in the
+    other's ``e`` (rows of bytes). Rows with a ``tile`` of 0 or more pair only with rows of another tile."""
     n = len(block)
     none = np.zeros(0, np.int64)
     if n < 2:
         return none, none
     _, of, count = np.unique(block, return_inverse=True, return_counts=True)
-    size = count[of]
-    order = np.lexsort((of, -size))
-    of, size = of[order], size[order]
-    lanes = np.unpackbits(sketch[order], axis=1).T
-    width = (n + 63) // 64
-    planes = np.zeros((len(lanes), width + 1), np.uint64)
-    planes.view(np.uint8)[:, : (n + 7) // 8] = np.packbits(lanes, axis=1, bitorder="little")
+    order = np.lexsort((~home, of, -count[of]))
+    of, size, home, tile = of[order], count[of[order]], home[order], tile[order]
+    px, pe = (_planes(np.unpackbits(v[order], axis=1, bitorder="little")) for v in (x, e))
+    radius = _planes((slack[order][:, None] >> np.arange(max(1, int(slack.max()).bit_length())) & 1).astype(np.uint8))
+    room = px.shape[1] - 1
     left, right = [], []
     for d in range(1, int(size[0])):
         m = int(np.searchsorted(-size, -d)) - d  # rows of blocks with more than d rows come first
         if m <= 0:
             break
         valid = np.zeros((m + 63) // 64 * 64, bool)
-        valid[:m] = of[:m] == of[d : m + d]
+        valid[:m] = (of[:m] == of[d : m + d]) & home[:m] & ((tile[:m] < 0) | (tile[:m] != tile[d : m + d]))
         alive = np.packbits(valid, bitorder="little").view(np.uint64)
         at = np.flatnonzero(alive)
         alive = alive[at]
         word, bit = at + d // 64, np.uint64(d % 64)
-        total: list[np.ndarray] = []
-        for g in range(0, len(planes), GROUP):
+
+        def moved(p: np.ndarray, word: np.ndarray, bit: np.uint64 = bit) -> np.ndarray:
+            low = p[:, np.minimum(word, room)]
+            return (low >> bit) | (p[:, np.minimum(word + 1, room)] << (np.uint64(64) - bit)) if bit else low
+
+        here, there = [], []
+        for g in range(0, BITS, GROUP):
             if not len(at):
                 break
-            p = planes[g : g + GROUP]
-            shifted = p[:, np.minimum(word, width)]
-            if bit:
-                shifted = (shifted >> bit) | (p[:, np.minimum(word + 1, width)] << (np.uint64(64) - bit))
-            add = _carry_save(p[:, at] ^ shifted)
-            if not total:
-                total = add
-            else:
-                carry = np.zeros_like(alive)
-                for k in range(max(len(total), len(add)) + 1):
-                    a = total[k] if k < len(total) else np.zeros_like(alive)
-                    b = add[k] if k < len(add) else np.zeros_like(alive)
-                    s, carry = _full(a, b, carry)
-                    if k < len(total):
-                        total[k] = s
-                    else:
-                        total.append(s)
-            alive = alive & ~_exceeds(total, radius)
+            own, other = slice(g, g + GROUP), slice(g, g + GROUP)
+            here = _sum(here, _carry_save(px[own][:, at] & ~moved(pe[other], word)))
+            there = _sum(there, _carry_save(moved(px[other], word) & ~pe[own][:, at]))
+            alive = alive & ~_exceeds(here, radius[:, at]) & ~_exceeds(there, moved(radius, word))
             keep = alive != 0  # the others are abandoned
             if not keep.all():
-                at, word, alive, total = at[keep], word[keep], alive[keep], [t[keep] for t in total]
+                at, word, alive, here, there = at[keep], word[keep], alive[keep], [t[keep] for t in here], [t[keep] for t in there]
         if len(at):
-            hit = np.unpackbits(alive.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            r, c = np.nonzero(hit)
+            r, c = np.nonzero(np.unpackbits(alive.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
             i = at[r] * 64 + c
             left.append(order[i])
             right.append(order[i + d])
@@ -237,32 +314,27 @@ def close_pairs(block: np.ndarray, sketch: np.ndarray, radius: int) -> tuple[np.
 
 
 def _compare(agree: float, least: int = 60_000):
-    """Rows come sorted by block; complete blocks are compared some ten thousand rows at a time, those of like lengths together."""
+    """Rows come sorted by block; complete blocks are compared some ten thousand rows at a time."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def done(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held
-            block, cls, n, level, sk = (np.concatenate([h[k] for h in held]) for k in range(5))
+            block, cls, n, tile, home, sk = (np.concatenate([h[k] for h in held]) for k in range(6))
             cut = len(block) if last else int(np.flatnonzero(block != block[-1])[-1]) + 1 if (block != block[-1]).any() else 0
-            held = [tuple(x[cut:] for x in (block, cls, n, level, sk))]
-            for at in np.unique(level[:cut]):
-                some = np.flatnonzero(level[:cut] == at)
-                most = int(n[some].max())
-                i, j = close_pairs(block[some], sk[some], 2 * (most - least_words(most, agree)))
-                i, j = some[i], some[j]
-                short, long = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-                fits = (short >= np.ceil(agree * long - 1e-9)) & (cls[i] != cls[j])
-                a, b = np.minimum(cls[i], cls[j])[fits], np.maximum(cls[i], cls[j])[fits]
-                if len(a):
-                    u = np.unique(np.stack([a, b]), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(u[0]), pa.array(u[1])], names=["a", "b"])
+            held = [tuple(v[cut:] for v in (block, cls, n, tile, home, sk))]
+            block, cls, n, tile, home, sk = (v[:cut] for v in (block, cls, n, tile, home, sk))
+            i, j = close_pairs(block, sk[:, : BITS // 8], sk[:, BITS // 8 :], n - np.ceil(agree * n - 1e-9).astype(np.int64), home, tile)
+            fits = (np.minimum(n[i], n[j]) >= np.ceil(agree * np.maximum(n[i], n[j]) - 1e-9)) & (cls[i] != cls[j])
+            a, b = np.minimum(cls[i], cls[j])[fits], np.maximum(cls[i], cls[j])[fits]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in distinct(a, b)], names=["a", "b"])
 
         for batch in batches:
             if batch.num_rows:
-                sk = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, BITS // 8)
-                held.append((*(batch.column(c).to_numpy() for c in ("block", "cls", "n", "level")), sk))
+                sk = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, BITS // 4)
+                held.append((*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "cls", "n", "tile", "home")), sk))
                 if sum(len(h[0]) for h in held) >= least:
                     yield from done(False)
         if held and sum(len(h[0]) for h in held):
@@ -271,53 +343,107 @@ def _compare(agree: float, least: int = 60_000):
     return compare
 
 
+_near = lru_cache(1 << 17)(near)
+
+
+def _links(left: list[str], right: list[str]) -> dict[str, list[str]]:
+    """Of each word on the left, the words on the right that are the same or a slip away."""
+    left, right = sorted(set(left)), sorted(set(right))
+    if len(left) * len(right) <= 2000:
+        return {x: [y for y in right if x == y or abs(len(x) - len(y)) <= 2 and _near(x, y)] for x in left}
+    at, key = rests(left + right)
+    order = np.argsort(key, kind="stable")
+    at, key = at[order], key[order]
+    ends = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    met = {(int(i), int(j) - len(left)) for a, b in zip(ends, ends[1:]) if b - a > 1 for i in at[a:b] if i < len(left) for j in at[a:b] if j >= len(left)}
+    met = sorted(met)
+    ok = near_many([left[i] for i, _ in met], [right[j] for _, j in met])
+    out: dict[str, list[str]] = defaultdict(list)
+    for (i, j), yes in zip(met, ok.tolist()):
+        if yes:
+            out[left[i]].append(right[j])
+    for x in set(left) & set(right):
+        out[x].append(x)
+    return out
+
+
 def agreement(a: list[str], b: list[str], least: float = 0.0) -> float:
-    """Share of the longer bag's words that have a partner in the other; below ``least`` it may be any smaller value."""
+    """Share of the longer bag's words in the largest one-to-one matching of equal words and words a slip apart. Equal words are
+    matched first, and paths through them lead on from there; where the matching can't reach ``least``, any smaller share may be given."""
     ca, cb = Counter(a), Counter(b)
-    m = max(len(a), len(b))
     both = ca & cb
-    n = sum(both.values())
-    if n / m >= least and least:
+    m, n = max(len(a), len(b)), sum(both.values())
+    free_a, free_b = ca - both, cb - both
+    spare = min(sum(free_a.values()), sum(free_b.values()))
+    if not spare or (n + spare) / m < least:
         return n / m
-    ra, rb = list((ca - both).elements()), list((cb - both).elements())
-    if (n + min(len(ra), len(rb))) / m < least:
-        return n / m
-    for x in ra:
-        for k, y in enumerate(rb):
-            if (x[:2] == y[:2] or x[-2:] == y[-2:] or x[1:3] == y[1:3]) and near(x, y):
-                n += 1
-                del rb[k]
-                break
+    link = _links(list(free_a), list(cb))
+    inner: dict[str, list[str]] | None = None
+    flow: dict[str, Counter] = {y: Counter({y: both[y]}) for y in both}  # words on the right and what they are matched with
+    for x in free_a.elements():
+        came: dict[str, str] = {}  # of a word on the right, the word on the left it was reached from
+        through: dict[str, str | None] = {x: None}  # of a word on the left, the word on the right it is taken away from
+        stack, y = [x], None
+        while stack and y is None:
+            u = stack.pop()
+            if u not in link:
+                inner = inner or _links(list(both), list(cb))
+                link = {**inner, **link}
+            for z in link.get(u, ()):
+                if z in came:
+                    continue
+                came[z] = u
+                if free_b[z] > 0:
+                    y = z
+                    break
+                for v, c in flow.get(z, {}).items():
+                    if c > 0 and v not in through:
+                        through[v] = z
+                        stack.append(v)
+        if y is None:
+            continue
+        n += 1
+        free_b[y] -= 1
+        while y is not None:
+            u = came[y]
+            flow.setdefault(y, Counter())[u] += 1
+            y = through[u]
+            if y is not None:
+                flow[y][u] -= 1
     return n / m
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Few but laborious rows over all tasks: a repartition by number isn't coalesced to the few tasks that their bytes would need."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def checked(pairs: DataFrame, cls: DataFrame, agree: float) -> DataFrame:
     """Exact check of candidate pairs ``a, b`` of classes: those that agree, with their share."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             s = [agreement(x.split(" "), y.split(" "), agree) for x, y in zip(t.column("bag_a").to_pylist(), t.column("bag_b").to_pylist())]
-            keep = pa.array([v >= agree for v in s], pa.bool_())
+            keep = pa.array([v >= agree - 1e-12 for v in s], pa.bool_())
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(s, pa.float64())], names=["a", "b", "share"]).filter(keep)
 
     x = pairs.join(cls.select(F.col("cls").alias("a"), F.col("bag").alias("bag_a")), "a").join(cls.select(F.col("cls").alias("b"), F.col("bag").alias("bag_b")), "b")
-    return x.select("a", "b", "bag_a", "bag_b").mapInArrow(check, "a bigint, b bigint, share double")
+    return spread(x.select("a", "b", "bag_a", "bag_b"), "a", "b").mapInArrow(check, "a bigint, b bigint, share double")
+
+
+def heavy_keys(keyed: DataFrame, tile: int) -> DataFrame:
+    """Keys of more than ``tile`` rows and into how many tiles each is cut: at most rows / tile of them."""
+    return keyed.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > tile).select("key", F.ceil(F.col("c") / tile).cast("int").alias("tiles"))
 
 
 def candidates(cls: DataFrame, agree: float) -> DataFrame:
     """Pairs ``a < b`` of different classes, each once, that hold all pairs that agree."""
-    entries = tokens(cls)
-    sketches = entries.groupBy("cls").agg(F.collect_list("token").alias("tokens")).mapInArrow(_sketch_rows, "cls bigint, sketch binary")
-    kept = rarest(entries, agree).join(sketches, "cls")
-    # classes that agree lie in the same level of lengths or in the next one
-    level = F.floor(F.log(F.col("n").cast("double")) / F.lit(-log(agree))).cast("int")
-    levelled = kept.withColumn("level", F.explode(F.array(level, level + 1)))
-    tiles = F.ceil(F.col("df") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("cls"), tiles).cast("int")
-    other = F.explode(F.sequence(F.lit(0), tiles - 1))
-    spread = levelled.select("token", "level", "cls", "n", "sketch", own.alias("own"), other.alias("other"))
-    block = F.xxhash64("token", "level", F.least("own", "other"), F.greatest("own", "other"))
-    rows = spread.select(block.alias("block"), "cls", "n", "level", "sketch").repartition("block").sortWithinPartitions("block")
+    keyed = written(coded_classes(cls).mapInArrow(_key_rows(agree), KEYED), "keyed")
+    tiles = F.coalesce("tiles", F.lit(1))
+    x = keyed.join(heavy_keys(keyed, TILE), "key", "left").withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    block = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    rows = x.select(block.alias("block"), "cls", "n", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("tile"), "home", "sketch").repartition("block").sortWithinPartitions("block")
     return rows.mapInArrow(_compare(agree), "a bigint, b bigint").distinct()
 
 

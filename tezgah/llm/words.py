@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -91,6 +92,12 @@ class Words:
     def word(self, k: int) -> str:
         return "".join(map(chr, (c for c in self.code[self.at[k] : self.end[k]].tolist() if c != DROPPED)))
 
+    def strings(self) -> list[str]:
+        """All words, in order."""
+        code = self.code[self.code != DROPPED].astype(np.uint32)
+        code[code == SEPARATOR] = 32
+        return [w for w in code.tobytes().decode("utf-32-le").split(" ") if w]
+
 
 def words(texts: pa.Array) -> Words:
     """Nulls count as empty texts."""
@@ -105,7 +112,7 @@ def words(texts: pa.Array) -> Words:
         far = points > 0xFFFF
         code = table()[np.where(far, 0, points)]
         for c in np.unique(points[far]):
-            code[points == c] = 0x8000 | (int(c) & 0x7FFF) if unicodedata.category(chr(c))[0] in "LN" else SEPARATOR
+            code[points == c] = 0x4000 | (int(c) & 0x3FFF) if unicodedata.category(chr(c))[0] in "LN" else SEPARATOR
     else:
         code = table()[points]
     inside = code != SEPARATOR
@@ -137,3 +144,86 @@ def one(text: str | None) -> list[str]:
     """The words of one text, as strings; for tests and exact checks."""
     w = words(pa.array([text], pa.string()))
     return [w.word(k) for k in range(len(w.hash))]
+
+
+def near(a: str, b: str) -> bool:
+    """The same word but for a slip of a letter or two (one in words under six letters, none under four; digits don't slip). A
+    slip is a letter put in, left out or exchanged, or two neighbours that changed places."""
+    if a == b:
+        return True
+    m, n = len(a), len(b)
+    most = 0 if min(m, n) < 4 else 1 if min(m, n) < 6 else 2
+    if not most or abs(m - n) > most or a.isdigit() or b.isdigit():
+        return False
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    m, n = len(a), len(b)
+    if max(m, n) <= most:
+        return True
+    if max(m, n) > 3 * most:  # two slips apart, with what lies between them
+        common = Counter(a) & Counter(b)
+        if max(m, n) - sum(common.values()) > most:
+            return False
+    before2, before = None, list(range(n + 1))
+    for i in range(1, m + 1):
+        row = [i] * (n + 1)
+        for j in range(1, n + 1):
+            row[j] = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (a[i - 1] != b[j - 1]))
+            if before2 and i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                row[j] = min(row[j], before2[j - 2] + 1)
+        if min(row) > most:
+            return False
+        before2, before = before, row
+    return before[n] <= most
+
+
+def near_many(left: list[str], right: list[str]) -> np.ndarray:
+    """Of each pair of different words, whether they are the same but for a slip. All pairs of a length class go through the
+    distance table together; only its five diagonals around the main one can hold two slips or fewer."""
+    m, n = (np.fromiter(map(len, x), np.int64, len(x)) for x in (left, right))
+    short = np.minimum(m, n)
+    most = np.where(short < 4, 0, np.where(short < 6, 1, 2))
+    digits = np.fromiter((a.isdigit() or b.isdigit() for a, b in zip(left, right)), bool, len(left))
+    out = np.zeros(len(left), bool)
+    some = np.flatnonzero((most > 0) & (np.abs(m - n) <= most) & ~digits)
+    if not len(some):
+        return out
+    size = np.maximum(m, n)[some]
+    for lo, hi in ((0, 12), (12, 24), (24, 1 << 40)):
+        at = some[(size > lo) & (size <= hi)]
+        if len(at):
+            out[at] = _distances([left[i] for i in at], [right[i] for i in at], m[at], n[at]) <= most[at]
+    return out
+
+
+def _distances(left: list[str], right: list[str], m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    wide = int(max(m.max(), n.max()))
+    a, b = (np.array(x, f"<U{wide}").view(np.uint32).reshape(len(x), wide) for x in (left, right))
+    far = np.int16(99)
+    rows = [np.full((len(left), 5), far, np.int16) for _ in range(3)]
+    out = np.full(len(left), far, np.int16)
+    for i in range(wide + 1):
+        now, before, before2 = rows[i % 3], rows[(i - 1) % 3], rows[(i - 2) % 3]
+        for t in range(5):
+            j = i + t - 2
+            if j < 0 or j > wide:
+                now[:, t] = far
+                continue
+            if i == 0 or j == 0:
+                now[:, t] = i + j
+                continue
+            best = before[:, t] + (a[:, i - 1] != b[:, j - 1])
+            if t < 4:
+                best = np.minimum(best, before[:, t + 1] + 1)
+            if t > 0:
+                best = np.minimum(best, now[:, t - 1] + 1)
+            if i > 1 and j > 1:
+                turned = (a[:, i - 1] == b[:, j - 2]) & (a[:, i - 2] == b[:, j - 1])
+                best = np.where(turned, np.minimum(best, before2[:, t] + 1), best)
+            now[:, t] = best
+        ends = np.flatnonzero(m == i)
+        if len(ends):
+            out[ends] = now[ends, (n - m)[ends] + 2]
+    return out
