@@ -578,3 +578,16 @@ def test_queries_equal_sql(spark, small):
         res = c.execute(sql)
         names = [d[0] for d in res.description]
         assert sorted(tuple(r[k] for k in cols) for r in df.collect()) == sorted(tuple(r[names.index(k)] for k in cols) for r in res.fetchall())
+
+
+def test_robust_estimate_decides(spark):
+    """Contaminated vectors don't move the centre; without the estimate's rejection no document is measured."""
+    r = np.random.default_rng(31)
+    x = np.concatenate([r.normal(0, 0.1, (700, 3)), r.normal(5, 0.1, (290, 3))])
+    centre, cov, n = repetition.concentrate(np.round(x * 64) / 64, np.ones(len(x), np.int64))
+    assert np.abs(centre).max() < 0.05 and np.linalg.det(cov) < 1e-4 and 490 <= n <= 520
+    once = repetition.concentrate(np.array([[0.0, 0, 0], [1, 1, 1]]), np.array([9, 1]))
+    assert once[0].tolist() == [0, 0, 0] and once[2] == 9
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(40)), "tr", "s") for i in range(50)] + [(99, "bir iki üç dört beş altı " * 5, "tr", None)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    assert [x["doc_id"] for x in repetition.heavy_documents(d).collect()] == [99] and repetition.heavy_documents(d.limit(0)).count() == 0

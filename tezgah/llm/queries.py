@@ -85,7 +85,7 @@ def p7_leaks_by_item(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.repetition_report(_read(spark, d, "documents")).where("heavy").select("doc_id")
+    return repetition.heavy_documents(_read(spark, d, "documents")).select("doc_id")
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
