@@ -484,7 +484,7 @@ def test_one_whole_sentence_and_a_common_frame(spark, vocabulary):
 
 
 def test_near_words():
-    assert leak.near("kitaplar", "kiatplar") and leak.near("kitap", "kita") and not leak.near("kitap", "masa") and not leak.near("ev", "eh") and not leak.near("12345", "12346")
+    assert words.near("kitaplar", "kiatplar") and words.near("kitap", "kita") and not words.near("kitap", "masa") and not words.near("ev", "eh") and not words.near("12345", "12346")
 
 
 # ------------------------------------------------------------------ repetition
@@ -591,3 +591,24 @@ def test_robust_estimate_decides(spark):
     rows = [(i, " ".join(f"w{i}x{k}" for k in range(40)), "tr", "s") for i in range(50)] + [(99, "bir iki üç dört beş altı " * 5, "tr", None)]
     d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
     assert [x["doc_id"] for x in repetition.heavy_documents(d).collect()] == [99] and repetition.heavy_documents(d.limit(0)).count() == 0
+
+
+def test_instructions_count_over_all_items(spark, vocabulary, monkeypatch):
+    """Of items held in memory one by one the rows are the same: an instruction is shared by all, not by those of a block."""
+    r = random.Random(33)
+    said = "Aşağıdaki metni dikkatle okuyup soruyu yanıtla."
+    body = [" ".join(sentence(r, vocabulary, 9) for _ in range(3)) for _ in range(5)]
+    it = spark.createDataFrame([(k, f"{said} {b}") for k, b in enumerate(body)], "item_id bigint, text string")
+    other = lambda: " ".join(sentence(r, vocabulary) for _ in range(6))
+    d = spark.createDataFrame([(k, f"{other()} {b} {other()}") for k, b in enumerate(body)] + [(50 + k, f"{said} {other()}") for k in range(10)], "doc_id bigint, text string")
+    want = {(k, k) for k in range(5)}
+    assert {(x["doc_id"], x["item_id"]) for x in leak.leaks(d, it).collect()} == want
+    monkeypatch.setattr(leak, "BLOCK", 2)
+    assert {(x["doc_id"], x["item_id"]) for x in leak.leaks(d, it).collect()} == want
+
+
+def test_an_item_of_many_words(spark):
+    text = " ".join(f"söz{k}lar" for k in range(6000))
+    d = spark.createDataFrame([(1, text), (2, " ".join(text.split()[:3500]) + " son"), (3, " ".join(reversed(text.split())))], "doc_id bigint, text string")
+    it = spark.createDataFrame([(7, text)], "item_id bigint, text string")
+    assert {x["doc_id"] for x in leak.leaks(d, it).collect()} == {1, 2}

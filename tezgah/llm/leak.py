@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tezgah.llm.words import Words, slices, words
+from tezgah.llm.words import Words, near, slices, words
+from tezgah.session import written
 
 #: Share of the item's weight in words that stand unaltered in a document that holds half of it, with slips and exchanges.
 NEED = 0.35
@@ -35,6 +36,8 @@ NEED = 0.35
 READ = 0.8
 #: How far adjusted positions may differ within a sentence: words inserted or left out.
 DRIFT = 3
+#: How far apart two words of a chain within a sentence may stand.
+REACH = 6
 MIN_WORDS = 4
 #: Words in a row, unaltered but for slips, that make a passage, and the shares of an item, by weight and in passages, from which on a
 #: document holds it: most of its weight, or as many words as make half of it in passages.
@@ -62,15 +65,29 @@ class Item:
     sentence: np.ndarray
 
 
-def prepare(rows: list[tuple[int, str]]) -> list[Item]:
-    """Items without their instruction sentence. ``rows``: (item id, text), of one block or all."""
-    cut = [(i, sentences(t)) for i, t in rows if t and t.strip()]
-    key = lambda s: " ".join(_plain(s))
-    opening = Counter(key(s[0]) for _, s in cut if len(s) > 1)
+def opening(text: str | None) -> str | None:
+    """The words of the first sentence of a text that has more than one."""
+    s = sentences(text or "")
+    return " ".join(_plain(s[0])) if len(s) > 1 else None
+
+
+def _openings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("item_id"), b.column("text"), pa.array([opening(t) for t in b.column("text").to_pylist()], pa.string())], names=["item_id", "text", "opening"])
+
+
+def with_instruction(items: DataFrame) -> DataFrame:
+    """``item_id, text, instructed``: whether the opening sentence is an instruction, shared by ``SHARED_BY`` items of all or more."""
+    x = items.mapInArrow(_openings, "item_id bigint, text string, opening string")
+    shared = x.where("opening is not null").groupBy("opening").agg(F.count("*").alias("c")).where(F.col("c") >= SHARED_BY).select("opening", F.lit(True).alias("instructed"))
+    return x.join(shared, "opening", "left").select("item_id", "text", F.coalesce("instructed", F.lit(False)).alias("instructed"))
+
+
+def prepare(rows: list[tuple[int, str, bool]]) -> list[Item]:
+    """Items without their instruction sentence. ``rows``: (item id, text, whether it begins with an instruction)."""
     out = []
-    for i, s in cut:
-        if len(s) > 1 and opening[key(s[0])] >= SHARED_BY:
-            s = s[1:]
+    for i, t, instructed in rows:
+        s = sentences(t)[int(instructed) :]
         w = words(pa.array(s, pa.string()))
         if len(w.hash):
             out.append(Item(i, w.hash, [w.word(k) for k in range(len(w.hash))], w.row.copy()))
@@ -82,39 +99,22 @@ def _plain(s: str) -> list[str]:
     return [w.word(k) for k in range(len(w.hash))]
 
 
-def near(a: str, b: str) -> bool:
-    """The same word but for a slip of a letter or two (one in words under six letters, none under four; digits don't slip)."""
-    if a == b:
-        return True
-    m, n = len(a), len(b)
-    most = 0 if min(m, n) < 4 else 1 if min(m, n) < 6 else 2
-    if not most or abs(m - n) > most or a.isdigit() or b.isdigit():
-        return False
-    before2, before = None, list(range(n + 1))
-    for i in range(1, m + 1):
-        row = [i] * (n + 1)
-        for j in range(1, n + 1):
-            row[j] = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (a[i - 1] != b[j - 1]))
-            if before2 and i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
-                row[j] = min(row[j], before2[j - 2] + 1)
-        if min(row) > most:
-            return False
-        before2, before = before, row
-    return before[n] <= most
-
-
 def align(item: Item, weight: np.ndarray, w: Words, lo: int, hi: int, pts_i: np.ndarray, pts_p: np.ndarray) -> tuple[int, float, int, int, int] | None:
     """Longest chain of words in both orders: within a sentence the places drift by at most DRIFT, between sentences any
     text may stand. ``pts_i``, ``pts_p``: places of equal words in the item and the document (words lo to hi of ``w``).
     Gives words held, their share by weight, the first and last word of the document used, and the words that stand in passages."""
-    diag = pts_p - pts_i
-    order = np.argsort(pts_p * 4096 + pts_i, kind="stable")
-    pts_i, pts_p, diag = pts_i[order], pts_p[order], diag[order]
-    # a point counts if another one follows or precedes it closely
-    d_p = pts_p[None, :] - pts_p[:, None]
-    d_i = pts_i[None, :] - pts_i[:, None]
-    close = (np.abs(d_p - d_i) <= DRIFT) & (d_p != 0) & (d_i != 0) & (np.abs(d_p) <= 6) & (np.sign(d_p) == np.sign(d_i))
-    ok = close.sum(1) >= 2
+    order = np.lexsort((pts_i, pts_p))
+    pts_i, pts_p = pts_i[order], pts_p[order]
+    # a point counts if others follow or precede it closely
+    close = np.zeros(len(pts_p), np.int64)
+    for step in range(1, len(pts_p)):
+        d_p, d_i = pts_p[step:] - pts_p[:-step], pts_i[step:] - pts_i[:-step]
+        if d_p.min() > REACH:
+            break
+        c = (d_p <= REACH) & (d_p > 0) & (d_i > 0) & (np.abs(d_p - d_i) <= DRIFT)
+        close[step:] += c
+        close[:-step] += c
+    ok = close >= 2
     if ok.sum() < 2:
         return None
     pts_i, pts_p = pts_i[ok], pts_p[ok]
@@ -123,7 +123,7 @@ def align(item: Item, weight: np.ndarray, w: Words, lo: int, hi: int, pts_i: np.
     sent = item.sentence
     for k in range(1, m):
         di, dp = pts_i[k] - pts_i[:k], pts_p[k] - pts_p[:k]
-        go = (di > 0) & (dp > 0) & (((np.abs(dp - di) <= DRIFT) & (di <= 6)) | (sent[pts_i[:k]] < sent[pts_i[k]]))
+        go = (di > 0) & (dp > 0) & (((np.abs(dp - di) <= DRIFT) & (di <= REACH)) | (sent[pts_i[:k]] < sent[pts_i[k]]))
         if go.any():
             c = np.where(go, best[:k] - 1e-4 * np.abs(dp - di).clip(0, 1000), -1)
             j = int(c.argmax())
@@ -228,8 +228,11 @@ def _meeting(shard: Shard, block: Block) -> np.ndarray:
     order = np.argsort(key, kind="stable")
     key, k, pair = key[order], k[order], pair[order]
     meets = np.zeros(len(key), bool)
-    for step in (1, 2):
-        m = (key[step:] - key[:-step] <= DRIFT) & (k[step:] != k[:-step])
+    for step in range(1, len(key)):
+        m = key[step:] - key[:-step] <= DRIFT
+        if not m.any():
+            break
+        m &= k[step:] != k[:-step]
         meets[step:] |= m
         meets[: len(key) - step] |= m
     single = block.first[1:] - block.first[:-1] == 1  # an item of one word has nothing to meet
@@ -263,8 +266,11 @@ def search(shard: Shard, block: Block, share: float, by_weight: float, in_rows:
             yield d, item, n, 1.0, p - lo, p - lo + n - 1
             continue
         keep = np.zeros(len(g), bool)  # only where an adjusted position is met by another word nearby
-        for step in range(1, 9):
-            m = (g[step:] - g[:-step] <= DRIFT) & (pi[step:] != pi[:-step]) & (np.abs(pp[step:] - pp[:-step]) <= 6)
+        for step in range(1, len(g)):
+            m = g[step:] - g[:-step] <= DRIFT
+            if not m.any():
+                break
+            m &= (pi[step:] != pi[:-step]) & (np.abs(pp[step:] - pp[:-step]) <= REACH)
             keep[step:] |= m
             keep[: max(0, len(g) - step)] |= m
         pi, pp = pi[keep], pp[keep]
@@ -303,7 +309,8 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, by_weight:
     words of the item (instruction aside), words held, both shares, the document's first and last word used, whether it is
     the exact phrase. ``documents``: ``doc_id, text``; ``items``: ``item_id, text``."""
     spark = documents.sparkSession
-    rows = items.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).where("item_id is not null and text is not null and trim(text) <> ''").distinct().orderBy("item_id", "text")
+    rows = items.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).where("item_id is not null and text is not null and trim(text) <> ''").distinct()
+    rows = written(with_instruction(rows), "items").orderBy("item_id", "text")
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for block in _blocks(rows):
@@ -328,10 +335,10 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, by_weight:
     return out if out is not None else spark.createDataFrame([], FOUND)
 
 
-def _blocks(rows: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    block: list[tuple[int, str]] = []
+def _blocks(rows: DataFrame) -> Iterator[list[tuple[int, str, bool]]]:
+    block: list[tuple[int, str, bool]] = []
     for r in rows.toLocalIterator():
-        block.append((r[0], r[1]))
+        block.append((r[0], r[1], r[2]))
         if len(block) == BLOCK:
             yield block
             block = []
