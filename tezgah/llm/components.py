@@ -1,9 +1,15 @@
 """Splits that keep related records together (problem 5).
 
-Records that share a critical lemma or a template are tied. Adjacency lists are hash-partitioned; every node that is least among
-its neighbours, by a hash of the round, is a seed, and all seeds expand their frontier at once, two steps a round. Where
-frontiers of different seeds touch, the seeds' labels are joined in a graph of labels, which is smaller each round; it is expanded
-in the same way until no labels touch. All of it stays in tables; the driver sees only counts.
+Records that share a critical lemma or a template are tied. Adjacency lists are kept as rows, hash-partitioned by node, so that a node
+of any degree is spread. Every node that is least among its neighbours by a hash is a seed: from any node a path of smaller
+and smaller hashes leads to one. All seeds expand their frontiers at once, breadth first: a round joins the frontier with the
+adjacency rows, unvisited neighbours take the least label that reaches them and are the next frontier, and where a label
+reaches a node of another label, the two labels collide. When no frontier is left, the collisions are a graph of seed labels, which is
+small beside the first: it is merged in the same way until at most ``SMALL`` collisions are left, and these, a bounded number, by the
+driver. Nodes, links and components stay in tables.
+
+Components are then laid end to end in the order of a hash, and each goes, whole, to the split in whose stretch its middle falls. Of
+``TRIES`` hashes the one whose splits come closest to the targets is taken.
 
 Edge cases: missing and stand-in values tie nothing, and a record with neither key is a component of its own. Repeated rows count
 once. Nulls in ids are dropped: they name no record. Empty tables give empty results. Extra columns are ignored.
@@ -11,7 +17,6 @@ once. Nulls in ids are dropped: they name no record. Empty tables give empty res
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,9 +27,10 @@ from tezgah.session import written
 STAND_INS = ["", "na", "none", "null", "nan", "bilinmiyor", "unknown", "yok", "belirsiz", "undefined"]
 #: Accented letters of the data and the plain ones, in the same order.
 ACCENTED, PLAIN = "çğıöşüâîûéèêáàäëïñóòôúùİI", "cgiosuaiueeeaaaeinooouuii"
-#: Components of at least this share of all records are placed first, one by one; there are at most 1 / BIG of them.
-BIG = 0.005
-BUCKETS = 4096
+#: Collisions of labels that the driver merges itself; more of them are merged by frontiers again. The components are the same.
+SMALL = 50_000
+#: Hashes among which the order of the components is chosen.
+TRIES = 16
 
 
 def _plain(c: F.Column) -> F.Column:
@@ -47,38 +53,75 @@ def template_key(column: str) -> F.Column:
     return F.when(stated, F.concat_ws(".", base, F.regexp_replace(number, r"^0+(?=.)", "")))
 
 
+def frontiers(adjacent: DataFrame, turn: int = 0, most: int = 200) -> tuple[DataFrame, DataFrame]:
+    """``adjacent``: ``x, y``, each link in both directions. (labels, collisions): ``node, label`` of every node, the seed it was
+    reached from, and the pairs ``a < b`` of labels that touch."""
+    rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("r"), F.col(c).alias("v"))
+    least = adjacent.groupBy("x").agg(F.min(rank("y")).alias("m"))
+    seeds = written(least.where(rank("x") < F.col("m")).select(F.col("x").alias("node"), F.col("x").alias("label")), "seeds")
+    visited, frontier, collisions = [seeds], seeds, []
+    for _ in range(most):
+        reached = frontier.join(adjacent, frontier["node"] == adjacent["x"]).groupBy(F.col("y").alias("node"), "label").agg(F.lit(1).alias("one"))
+        before = visited[0]
+        for v in visited[1:]:
+            before = before.unionByName(v)
+        first = Window.partitionBy("node")  # as many rows as labels touch a node
+        met = written(reached.join(before.withColumnRenamed("label", "old"), "node", "left").select("node", "label", "old", F.coalesce("old", F.min("label").over(first)).alias("now")), "reached")
+        collisions.append(met.where("label <> now").select(F.least("label", "now").alias("a"), F.greatest("label", "now").alias("b")))
+        frontier = met.where("old is null and label = now").select("node", "label")
+        if not frontier.take(1):
+            break
+        visited.append(frontier)
+    else:
+        raise RuntimeError(f"frontiers did not end in {most} rounds")
+    out, touch = visited[0], collisions[0]
+    for v in visited[1:]:
+        out = out.unionByName(v)
+    for c in collisions[1:]:
+        touch = touch.unionByName(c)
+    return out, touch.distinct()
+
+
+def _merged(labels: DataFrame, touch: list) -> DataFrame:
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for a, b in touch:
+        up[top(b)] = top(a)
+    if not up:
+        return labels
+    name = F.broadcast(labels.sparkSession.createDataFrame([(x, top(x)) for x in up], "component bigint, top bigint"))  # at most 2 * SMALL rows
+    return labels.join(name, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+
+
 def components(links: DataFrame, most: int = 60) -> DataFrame:
     """``links``: two columns of bigint node ids, in any order and number. One row per node that has a link to another:
     ``node, component``, the same for all nodes that are connected."""
     a, b = links.columns[:2]
     edges = written(links.select(F.least(a, b).cast("bigint").alias("a"), F.greatest(a, b).cast("bigint").alias("b")).where("a <> b").distinct(), "edges")
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    levels = []
+    out = None
     for turn in range(most):
-        if not edges.take(1):
-            break
-        rank = lambda c, turn=turn: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("r"), F.col(c).alias("v"))
-        out = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"))))
-        near = edges.select(out.alias("e")).select("e.x", "e.y").groupBy("x").agg(F.min(rank("y")).alias("m"))
-        step = written(near.select("x", F.least("m", rank("x"))["v"].alias("y")), "step")
-        twice = step.alias("s").join(step.select(F.col("x").alias("y"), F.col("y").alias("z")), "y", "left").select("x", F.coalesce("z", "y").alias("y"))
-        levels.append(written(twice, "level"))
-        label = levels[-1]
-        moved = edges.join(label.select(F.col("x").alias("a"), F.col("y").alias("p")), "a").join(label.select(F.col("x").alias("b"), F.col("y").alias("q")), "b")
-        edges = written(moved.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).where("a <> b").distinct(), "edges")
-    else:
-        raise RuntimeError(f"components did not settle in {most} rounds")
-    out = nodes.withColumn("component", F.col("node"))
-    for level in levels:
-        out = out.join(level.select(F.col("x").alias("component"), F.col("y").alias("next")), "component", "left").select("node", F.coalesce("next", "component").alias("component"))
-    return out
+        if out is not None and len(last := edges.limit(SMALL + 1).collect()) <= SMALL:
+            return _merged(out, last)
+        both = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"))))
+        label, touch = frontiers(written(edges.select(both.alias("e")).select("e.x", "e.y"), "adjacent"), turn)
+        edges = written(touch, "touch")
+        if out is None:
+            out = label.select("node", F.col("label").alias("component"))
+        else:
+            out = out.join(label.select(F.col("node").alias("component"), "label"), "component", "left").select("node", F.coalesce("label", "component").alias("component"))
+    raise RuntimeError(f"components did not settle in {most} rounds")
 
 
 def family_components(families: DataFrame) -> DataFrame:
     """One row per family: ``family_id, split, component``. Of repeated rows any stated value counts."""
     f = families.where("family_id is not null").select("family_id", split_of("split_name").alias("split"), lemma_key("critical_lemma").alias("l"), template_key("template_id").alias("t"))
     node = lambda kind, c: F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(kind), F.col(c)))
-    f = f.select("family_id", "split", node("lemma", "l").alias("l"), node("template", "t").alias("t"))
+    f = written(f.select("family_id", "split", node("lemma", "l").alias("l"), node("template", "t").alias("t")).distinct(), "keys")
     split = f.groupBy("family_id").agg(F.max("split").alias("split"), F.max("l").alias("l"), F.max("t").alias("t"))
     one = written(split, "families")
     # rows of one family may state different values; all of them tie
@@ -97,37 +140,33 @@ def broken(families: DataFrame) -> DataFrame:
 
 
 def assign_splits(families: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
-    """One row per family: ``family_id, component, split_name``; components stay whole. Large components go, one by one, where
-    most room is left; the others follow in the order of their hash, each to the split in whose stretch its middle falls.
-    ``targets``: ``split_name, target_share`` (a few rows)."""
+    """One row per family: ``family_id, component, split_name``; components stay whole, in the order of a hash, each in the split in
+    whose stretch its middle falls. ``targets``: ``split_name, target_share`` (a few rows); without targets, the split is null."""
     f = written(family_components(families).select("family_id", "component"), "components")
     size = written(f.groupBy("component").agg(F.count("*").alias("n")), "sizes")
     total = size.agg(F.sum("n")).first()[0] or 0
     shares = [(r[0], float(r[1])) for r in targets.select("split_name", "target_share").orderBy(F.desc("target_share"), "split_name").collect()]
     if not shares or not total:
-        return f.select("family_id", "component", F.lit(None).cast("string").alias("split_name")).limit(0 if not total else 2**31 - 1)
+        return f.select("family_id", "component", F.lit(None).cast("string").alias("split_name"))
     scale = sum(s for _, s in shares)
-    room = np.array([total * s / scale for _, s in shares])
-    large = size.where(F.col("n") >= BIG * total).orderBy(F.desc("n"), "component").collect()  # at most 1 / BIG rows
-    placed = []
-    for r in large:
-        k = int(room.argmax())
-        room[k] -= r["n"]
-        placed.append((r["component"], shares[k][0]))
-    spark = families.sparkSession
-    first = spark.createDataFrame(placed, "component bigint, first string")
-    rest = size.join(F.broadcast(first), "component", "left_anti").withColumn("h", F.xxhash64("component", F.lit(seed))).withColumn("bucket", F.shiftrightunsigned("h", 52))
-    by_bucket = rest.groupBy("bucket").agg(F.sum("n").alias("s")).withColumn("before", F.sum("s").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))  # BUCKETS rows
-    within = Window.partitionBy("bucket").orderBy("h", "component")
-    middle = F.coalesce("before", F.lit(0)) + F.sum("n").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n") / 2
-    left = total - sum(r["n"] for r in large)
-    room = np.maximum(room, 0)
-    ends = np.cumsum(room) / max(room.sum(), 1e-9) * left
-    name = F.lit(shares[-1][0])
-    for (s, _), e in reversed(list(zip(shares[:-1], ends[:-1]))):
-        name = F.when(F.col("middle") <= float(e), F.lit(s)).otherwise(name)
-    small = rest.join(F.broadcast(by_bucket.select("bucket", "before")), "bucket").withColumn("middle", middle).select("component", name.alias("rest"))
-    return f.join(F.broadcast(first), "component", "left").join(small, "component", "left").select("family_id", "component", F.coalesce("first", "rest").alias("split_name"))
+    tried = size.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(TRIES - 1)))).withColumn("h", F.xxhash64("component", F.lit(seed), "k")).withColumn("bucket", F.shiftrightunsigned("h", 52))
+    before = Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # 4,096 rows each
+    starts = tried.groupBy("k", "bucket").agg(F.sum("n").alias("s")).select("k", "bucket", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("k", "bucket").orderBy("h", "component").rowsBetween(Window.unboundedPreceding, 0)
+    middle = F.col("before") + F.sum("n").over(within) - F.col("n") / 2
+    name, end = F.lit(shares[-1][0]), total
+    for s, share in reversed(shares[:-1]):
+        end -= total * dict(shares)[_next(shares, s)] / scale
+        name = F.when(F.col("middle") <= float(end), F.lit(s)).otherwise(name)
+    placed = written(tried.join(F.broadcast(starts), ["k", "bucket"]).withColumn("middle", middle).select("k", "component", "n", name.alias("split_name")), "placed")
+    got = {(r["k"], r["split_name"]): r["n"] for r in placed.groupBy("k", "split_name").agg(F.sum("n").alias("n")).collect()}  # TRIES times the splits
+    best = min(range(TRIES), key=lambda k: (sum(abs(got.get((k, s), 0) - total * x / scale) for s, x in shares), k))
+    return f.join(placed.where(F.col("k") == best).select("component", "split_name"), "component").select("family_id", "component", "split_name")
+
+
+def _next(shares: list[tuple[str, float]], split: str) -> str:
+    names = [s for s, _ in shares]
+    return names[names.index(split) + 1]
 
 
 def balance(assigned: DataFrame, targets: DataFrame) -> DataFrame:
