@@ -256,3 +256,23 @@ def holm(p_values: DataFrame, by: list[str], name: str, p: str) -> DataFrame:
     m = F.count("*").over(Window.partitionBy(*by))
     scaled = F.least(F.lit(1.0), (m - F.row_number().over(w) + 1) * F.col(p))
     return p_values.withColumn("scaled", scaled).withColumn("adjusted", F.max("scaled").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("scaled")
+
+
+def first_rows(rows: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:
+    """The first ``k`` rows of each group with their ``place``: the first of each partition, and of these the first, so that a group of any
+    size brings at most ``k`` rows per task together. Ties fall in the order of the columns given."""
+    part = rows.withColumn("_part", F.spark_partition_id())
+    some = part.withColumn("_i", F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order))).where(F.col("_i") <= k)
+    return some.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= k).drop("_part", "_i")
+
+
+def running_number(rows: DataFrame, by: str, order: str, name: str, width: int = 1 << 16) -> DataFrame:
+    """Numbers the rows of each group in the order of an integer column: counts of ranges of it are summed up, and rows are numbered only
+    within their range. Ranges hold at most ``width`` different values."""
+    x = rows.withColumn("_range", F.floor(F.col(order) / width))
+    before = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = x.groupBy(by, "_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    counts = counts.select(F.col(by).alias("_by"), F.col("_range").alias("_r"), "_before")
+    own = F.row_number().over(Window.partitionBy(by, "_range").orderBy(order))
+    y = x.withColumn("_own", own).join(counts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_r")))
+    return y.withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_own", "_by", "_r", "_before")

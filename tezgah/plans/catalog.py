@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tezgah.plans import records, retrieval, streams
+from tezgah.plans import analysis, records, retrieval, streams
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return retrieval.QUERIES | records.QUERIES | streams.QUERIES
+    return retrieval.QUERIES | analysis.QUERIES | records.QUERIES | streams.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return retrieval.SQL | records.SQL | streams.SQL
+    return retrieval.SQL | analysis.SQL | records.SQL | streams.SQL

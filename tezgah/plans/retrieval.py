@@ -33,8 +33,13 @@ def one_query(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "queries").where("_id is not null").groupBy("_id").agg(F.max("text").alias("text"))
 
 
+FAMILY_COLUMNS = ["template_id", "critical_lemma", "split_name", "domain", "target_feature", "source_dataset", "semantic_frame_id", "generator_id"]
+
+
 def one_family(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    return table(spark, d, "families").where("family_id is not null").groupBy("family_id").agg(*[F.max(c).alias(c) for c in columns])
+    """One row per family id: its latest version, by ``created_at``; of equally late ones the greatest row."""
+    version = F.struct(F.coalesce("created_at", F.lit("1900-01-01").cast("timestamp")).alias("at"), *[F.coalesce(c, F.lit("")).alias(f"k{i}") for i, c in enumerate(FAMILY_COLUMNS)], *[F.col(c) for c in FAMILY_COLUMNS])
+    return table(spark, d, "families").where("family_id is not null").groupBy("family_id").agg(F.max(version).alias("v")).select("family_id", *[F.col(f"v.{c}").alias(c) for c in columns])
 
 
 def split(column: str = "split_name"):
@@ -46,7 +51,7 @@ def split(column: str = "split_name"):
 
 
 @query(f"""select doc_id, len({sql.tok('text')}) as tokens, len({sql.wide('text')}) as wide_tokens, len(list_distinct({sql.tok('text')})) as distinct_tokens,
-  len(regexp_extract_all({{s}}, '[.!?]+["''”’)]*(\\s|$)')) as sentences from documents""".replace("{s}", "replace(replace(replace(replace(replace(replace(replace(replace(trim(coalesce(text, '')), 'Dr.', 'Dr∯'), 'Prof.', 'Prof∯'), 'Doç.', 'Doç∯'), 'Sn.', 'Sn∯'), 'vb.', 'vb∯'), 'vs.', 'vs∯'), 'örn.', 'örn∯'), 'T.C.', 'T∯C∯')"))
+  len(regexp_extract_all({{s}}, '[.!?]+["''”’)]*(\\s|$)')) as sentences from documents""".replace("{s}", "replace(replace(replace(replace(replace(replace(replace(replace(trim(coalesce(text, '')), 'Dr.', 'Dr'), 'Prof.', 'Prof'), 'Doç.', 'Doç'), 'Sn.', 'Sn'), 'vb.', 'vb'), 'vs.', 'vs'), 'örn.', 'örn'), 'T.C.', 'TC')"))
 def token_stats(spark: SparkSession, d: str) -> DataFrame:
     t = F.coalesce("text", F.lit(""))
     return table(spark, d, "documents").select("doc_id", F.size(tx.tokens(t)).cast("bigint").alias("tokens"), F.size(tx.tokens_wide(t)).cast("bigint").alias("wide_tokens"), F.size(F.array_distinct(tx.tokens(t))).cast("bigint").alias("distinct_tokens"), tx.sentence_count(t).cast("bigint").alias("sentences"))
@@ -131,11 +136,20 @@ def pool_lemma_forms(spark: SparkSession, d: str) -> DataFrame:
     return x.select("pool", "cid", big(tx.common_prefix("a", "b"), "prefix"), big(tx.soft_prefix("a", "b"), "soft_prefix"), big(tx.common_suffix("a", "b"), "suffix"), tx.shares_stem("a", "b").alias("stem"), tx.shares_ending("a", "b").alias("ending"), big(F.levenshtein(bare("a"), bare("b")), "letters"))
 
 
+@query(f"""with {sql.POOLS}, x as (select pool, cid, {sql.tok('query')} as a, {sql.tok('text')} as b from cand), k as (select *, list_distinct(list_concat(a, b)) as known from x)
+  select pool, cid, levenshtein(array_to_string(list_transform(a, lambda w: chr((40 + list_position(known, w))::int)), ''), array_to_string(list_transform(b, lambda w: chr((40 + list_position(known, w))::int)), ''))::bigint as edits,
+  coalesce(list_max(list_transform(range(1, len(a) + 1), lambda i: list_max(list_transform(range(i, len(a) + 1), lambda j: case when contains(' ' || array_to_string(b, ' ') || ' ', ' ' || array_to_string(a[i:j], ' ') || ' ') then j - i + 1 else 0 end)))), 0)::bigint as run from k""")
+def pool_edits(spark: SparkSession, d: str) -> DataFrame:
+    """Token edit distance and longest verbatim run of query and candidate."""
+    x = pools(spark, d).select("pool", "cid", tx.tokens("query").alias("a"), tx.tokens("text").alias("b"))
+    return x.select("pool", "cid", udfs.token_edit_distance("a", "b").cast("bigint").alias("edits"), udfs.verbatim_run("a", "b").cast("bigint").alias("run"))
+
+
 @query()
 def pool_alignment(spark: SparkSession, d: str) -> DataFrame:
-    """Token edit distance, sequence ratio and longest verbatim run of query and candidate, by Arrow UDFs over the pairs."""
+    """Sequence ratio of query and candidate, by an Arrow UDF over the pairs."""
     x = pools(spark, d).select("pool", "cid", tx.tokens("query").alias("a"), tx.tokens("text").alias("b"))
-    return x.select("pool", "cid", udfs.token_edit_distance("a", "b").alias("edits"), F.round(udfs.sequence_ratio("a", "b"), 6).alias("ratio"), udfs.verbatim_run("a", "b").alias("run"))
+    return x.select("pool", "cid", F.round(udfs.sequence_ratio("a", "b"), 6).alias("ratio"))
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
@@ -165,7 +179,6 @@ def tie_aware_pools(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_TIES + " select scorer, count(*) as pools, round(avg(top_probability), 6) as recall_top, round(avg(mrr_10), 6) as mrr_10, round(avg(mean_rank), 6) as mean_rank from m group by scorer")
 def tie_aware_summary(spark: SparkSession, d: str) -> DataFrame:
-    t = tie_aware_pools(spark, d)
     s = written(scored(spark, d), "scored")
     x = s.withColumn("gold", F.col("cid") == F.min("cid").over(Window.partitionBy("pool", "scorer")))
     t = rank.tie_aware(x, ["pool", "scorer"], "score", "gold")
@@ -203,7 +216,12 @@ def sparse_pairwise(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("scorer", "role").agg(F.count("*").alias("pairs"), F.round(100 * F.avg(rank.win("g.score", "score", 0.0)), 1).alias("accuracy"))
 
 
-@query()
+@query(f"""with {sql.POOLS}, x as (select pool, cid, {sql.tok('query')} as q, {sql.tok('text')} as t from cand),
+  l as (select pool, cid, t, q, unnest(q) as a, generate_subscripts(q, 1) as i from x), p as (select pool, cid, a, i, q, unnest(t) as b, generate_subscripts(t, 1) as j from l where not list_contains(t, a)),
+  s as (select *, {_SOFT} as stem, {_SUF} as suf, least(length(a), length(b)) as low, greatest(length(a), length(b)) as high from p where not list_contains(q, b)),
+  r as (select *, case when stem >= 3 and stem >= 0.35 * low then 2 when suf >= 3 and suf >= 0.4 * low then 1 end as r from s),
+  o as (select *, row_number() over (partition by pool, cid order by r desc, (case when r = 2 then stem else suf end)::double / high desc, i, j) as n from r where r is not null)
+  select x.pool, x.cid, o.a as "left", o.b as "right", case o.r when 2 then 'stem' when 1 then 'ending' end as kind from x left join o on o.pool = x.pool and o.cid = x.cid and o.n = 1""")
 def critical_pairs(spark: SparkSession, d: str) -> DataFrame:
     """The contrasting word pair of query and candidate, derived from the texts."""
     x = pools(spark, d).select("pool", "cid", udfs.derived_pair(tx.tokens("query"), tx.tokens("text")).alias("p"))
@@ -211,7 +229,7 @@ def critical_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PREFIX = f"""select generator_id, opening, n from (select g.generator_id, array_to_string({sql.tok('text')}[1:3], ' ') as opening, count(*) as n, row_number() over (partition by g.generator_id order by count(*) desc, array_to_string({sql.tok('text')}[1:3], ' ')) as i
-  from {sql.Q} q join (select family_id, max(generator_id) as generator_id from families where family_id is not null group by 1) g on g.family_id = q._id where q.text is not null and g.generator_id is not null group by 1, 2) where i <= 10"""
+  from {sql.Q} q join {sql.FAM} g on g.family_id = q._id where q.text is not null and g.generator_id is not null group by 1, 2) where i <= 10"""
 
 
 @query(_PREFIX)

@@ -57,7 +57,8 @@ def content_words(x: str) -> str:
 
 #: One row per query id and per family id.
 Q = "(select _id, max(text) as text from queries where _id is not null group by _id)"
-FAM = "(select family_id, max(template_id) as template_id, max(critical_lemma) as critical_lemma, max(split_name) as split_name, max(domain) as domain, max(target_feature) as target_feature, max(source_dataset) as source_dataset, max(semantic_frame_id) as semantic_frame_id from families where family_id is not null group by family_id)"
+_FAM = ["template_id", "critical_lemma", "split_name", "domain", "target_feature", "source_dataset", "semantic_frame_id", "generator_id"]
+FAM = f"(select family_id, {', '.join(_FAM)} from (select *, row_number() over (partition by family_id order by coalesce(created_at, timestamp '1900-01-01') desc, {', '.join(f"encode(coalesce({c}, '')) desc, {c} desc nulls last" for c in _FAM)}) as version from families where family_id is not null) where version = 1)"
 SPLIT = "case regexp_replace(lower(trim(split_name)), '[\\s\\-]+', '_', 'g') when 'train' then 'train' when 'development' then 'development' when 'dev' then 'development' when 'sealed_test' then 'sealed_test' when 'test' then 'sealed_test' end"
 #: Closed pools: queries of a template; its least id asks, the others are candidates, of which the least id is gold.
 POOLS = f"""
