@@ -209,7 +209,8 @@ def mcd(stats: DataFrame) -> DataFrame:
     null = F.lit(None).cast("string")
     levels = F.explode(F.array(F.struct(F.lit(0).alias("level"), "lang", "source"), F.struct(F.lit(1).alias("level"), "lang", null.alias("source")), F.struct(F.lit(2).alias("level"), null.alias("lang"), null.alias("source"))))
     at = cells.select(levels.alias("l"), "g1", "g2", "g3", "n").groupBy("l", "g1", "g2", "g3").agg(F.sum("n").alias("n")).select("l.*", "g1", "g2", "g3", "n")
-    return at.groupBy("level", "lang", "source").applyInPandas(_estimate, ESTIMATE)
+    tasks = int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # laborious rows: not to be coalesced by their bytes
+    return at.repartition(tasks, "level", "lang", "source").groupBy("level", "lang", "source").applyInPandas(_estimate, ESTIMATE)
 
 
 def outliers(stats: DataFrame) -> DataFrame:
