@@ -55,11 +55,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, else a temporary one (tests, local mode)."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session. A temporary one is used where that is unset and the master
+    is local; on a cluster it would be lost with its machine, so there the setting is required."""
     global _own_dir
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if where:
         return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="tezgah-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
