@@ -48,6 +48,53 @@ def test_config_versions_manifest(spark, tmp_path):
     assert files.read_jsonl(spark, f"{tmp_path}/log", "id bigint").count() == 3
 
 
+def test_decisions_env_and_config(spark, tmp_path):
+    rows = [{"slot_id": "s", "ok": True}]
+    for name, text in (("a.json", json.dumps(rows)), ("b.json", json.dumps({"decisions": rows})), ("c.jsonl", json.dumps(rows[0]))):
+        (tmp_path / name).write_text(text)
+        assert [tuple(r) for r in files.read_decisions(spark, str(tmp_path / name), "slot_id string, ok boolean").collect()] == [("s", True)]
+    (tmp_path / ".env").write_text("# x\nA='one'\nB=two \nC=\nnot a line\n")
+    assert files.read_env(str(tmp_path / ".env")) == {"A": "one", "B": "two"} and files.read_env(str(tmp_path / "no")) == {}
+    (tmp_path / "c.json").write_text('{"a": "${A}", "b": "${B:-x}", "c": "${NONE}", "d": "at ${A}"}')
+    assert files.read_config(str(tmp_path / "c.json"), {"B": "own"}, str(tmp_path / ".env")) == {"a": "one", "b": "own", "c": "${NONE}", "d": "at ${A}"}
+    with pytest.raises(ValueError):
+        files.read_config(str(tmp_path / "c.json"), {}, required=True)
+
+
+def test_parquet_datasets(spark, tmp_path):
+    c = spark.createDataFrame([(f"d{9 - i}", "başlık" if i else None, f"metin {i}") for i in range(10)], "id string, title string, text string")
+    q = spark.createDataFrame([("q1", "soru"), ("q2", "yargısız")], "_id string, text string")
+    r = spark.createDataFrame([("q1", "d3", 1)], "`query-id` string, `corpus-id` string, score int")
+    for k, root in enumerate(("own", "data", "any")):
+        at = lambda name: f"{tmp_path}/{root}/" + {"own": f"{name}/test", "data": f"data/{name}-test", "any": f"x/{name}/y"}[root]  # noqa: B023, E731
+        c.coalesce(1).write.parquet(at("corpus"))
+        q.write.parquet(at("queries"))
+        r.write.parquet(at("qrels"))
+        corpus, queries, qrels = files.read_beir_parquet(spark, f"{tmp_path}/{root}")
+        assert (corpus.count(), queries.count(), qrels.count()) == (10, 1, 1) and corpus.where("_id = 'd8'").first()["text"] == "başlık metin 1"
+        capped = {x["_id"] for x in files.read_beir_parquet(spark, f"{tmp_path}/{root}", most=3)[0].collect()}
+        assert capped == {"d3", "d9", "d8"}  # gold, then in the order of the file
+    assert files.find_parquet(spark, f"{tmp_path}/none", "corpus") == []
+    with pytest.raises(FileNotFoundError):
+        files.read_beir_parquet(spark, f"{tmp_path}/none")
+
+
+def test_sinks(spark, tmp_path):
+    log, box = f"{tmp_path}/ordered", f"{tmp_path}/box"
+    for part in ([3, 1, 2], [5, 4]):
+        files.append_jsonl(spark.createDataFrame([(x,) for x in part], "n int"), log, "n")
+    assert [r["n"] for r in files.read_jsonl(spark, log, "n int, seq bigint").orderBy("seq").collect()] == [1, 2, 3, 4, 5]
+    for n in (3, 2):
+        files.write_atomic(spark.range(n), box)
+        assert files.read_jsonl(spark, box, "id bigint").count() == n
+    f = spark.createDataFrame(ITEMS, ITEM)
+    none = spark.createDataFrame([], "code string")
+    with pytest.raises(ValueError):
+        files.freeze(f, spark.createDataFrame([("x",)], "code string"), f"{tmp_path}/frozen")
+    assert {p.split("/")[0] for p in (r["path"] for r in files.freeze(f, none, f"{tmp_path}/release").collect())} == {"blind", "internal"}
+    assert "role" not in spark.read.json(f"{tmp_path}/release/blind").select(F.explode("candidates")).select("col.*").columns
+
+
 def test_streams(spark, tmp_path):
     rows = [(1, "a", "planned", None, None, 10), (1, "a", "planned", None, None, 10), (2, "a", "reserved", None, None, 20), (3, None, "x", None, None, 5), (4, "b", "accepted", None, None, 90_000)]
     e = spark.createDataFrame(rows, "event_id bigint, slot_id string, event_type string, actor string, payload_json string, t int").withColumn("created_at", F.timestamp_seconds("t")).drop("t")

@@ -29,19 +29,24 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def read_items(spark: SparkSession, path: str, item: str | T.StructType) -> DataFrame:
-    """One JSON document per file: a bare list of items, or an envelope ``{"items": [...]}``."""
+def read_items(spark: SparkSession, path: str, item: str | T.StructType, box: str = "items") -> DataFrame:
+    """One JSON document per file: a bare list of items, or an envelope ``{"items": [...]}`` with the list under the name ``box``."""
     item = T._parse_datatype_string(item) if isinstance(item, str) else item
     text = spark.read.text(path, wholetext=True).select(F.col("value"))
     listed = F.from_json("value", T.ArrayType(item), {"mode": "FAILFAST"})
-    boxed = F.from_json("value", T.StructType([T.StructField("items", T.ArrayType(item))]), {"mode": "FAILFAST"})["items"]
+    boxed = F.from_json("value", T.StructType([T.StructField(box, T.ArrayType(item))]), {"mode": "FAILFAST"})[box]
     lists = text.where(F.ltrim("value").startswith("[")).select(F.inline(listed))
     return lists.unionByName(text.where(~F.ltrim("value").startswith("[")).select(F.inline(boxed)))
 
 
-def read_flexible(spark: SparkSession, path: str, item: str | T.StructType) -> DataFrame:
+def read_flexible(spark: SparkSession, path: str, item: str | T.StructType, box: str = "items") -> DataFrame:
     """By suffix: ``.jsonl`` as lines, anything else as items."""
-    return read_jsonl(spark, path, item) if path.endswith(".jsonl") else read_items(spark, path, item)
+    return read_jsonl(spark, path, item) if path.endswith(".jsonl") else read_items(spark, path, item, box)
+
+
+def read_decisions(spark: SparkSession, path: str, decision: str | T.StructType) -> DataFrame:
+    """Review decisions: a list, an envelope ``{"decisions": [...]}``, or JSON lines."""
+    return read_flexible(spark, path, decision, "decisions")
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
@@ -65,33 +70,96 @@ def newest(pattern: str) -> str | None:
     return max(glob.glob(pattern), key=lambda p: (version(p), p), default=None)
 
 
-def read_config(path: str, env: dict[str, str] | None = None) -> dict:
-    """A JSON configuration with ``${NAME:-default}`` filled from the environment, at any depth."""
-    env = dict(os.environ) if env is None else env
+def read_env(path: str) -> dict[str, str]:
+    """``NAME=value`` lines of a file; comments, blank values and lines of other form are skipped, quotes around a value taken off."""
+    if not os.path.isfile(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        found = (re.fullmatch(r"\s*([A-Za-z_]\w*)\s*=\s*(?:(['\"])(.+)\2|(.+?))\s*", line) for line in f)
+        return {m[1]: m[3] or m[4] for m in found if m}
+
+
+def read_config(path: str, env: dict[str, str] | None = None, env_file: str | None = None, required: bool = False) -> dict:
+    """A JSON configuration. At any depth, a string that begins with ``${NAME}`` or ``${NAME:-default}`` is the variable's value, or the
+    default; with neither it stays as it is, or is an error if ``required``. ``env_file`` adds variables and overrides none."""
+    env = (read_env(env_file) if env_file else {}) | (dict(os.environ) if env is None else env)
 
     def fill(v):
         if isinstance(v, dict):
             return {k: fill(x) for k, x in v.items()}
         if isinstance(v, list):
             return [fill(x) for x in v]
-        return re.sub(r"\$\{(\w+)(?::-([^}]*))?\}", lambda m: env.get(m[1], m[2] or ""), v) if isinstance(v, str) else v
+        m = re.match(r"\$\{([A-Za-z_]\w*)(?::-([^}]*))?\}", v) if isinstance(v, str) else None
+        if m is None:
+            return v
+        value = env.get(m[1]) or m[2]
+        if required and not value:
+            raise ValueError(f"{m[1]} isn't set")
+        return value or v
 
     with open(path, encoding="utf-8") as f:
         return fill(json.load(f))
 
 
+def find_parquet(spark: SparkSession, root: str, config: str, split: str | None = None) -> list[str]:
+    """Parquet files of a configuration of a dataset folder: of its own folder, else of ``data``, else any below that name it; of these the
+    ones that name the split, if any do. Listed by Hadoop's file system, so that the folder may lie anywhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path(root)):
+        return []
+    walk, every = fs.listFiles(path(root), True), []
+    while walk.hasNext():
+        every.append(walk.next().getPath().toString())
+    base = fs.makeQualified(path(root)).toString().rstrip("/") + "/"
+    below = sorted(f.removeprefix(base) for f in every if f.endswith(".parquet"))
+    named = re.compile(rf"(^|[/_.-]){re.escape(config)}([/_.-]|$)")
+    for fits in (lambda f: f.startswith(f"{config}/"), lambda f: f.startswith("data/") and named.search(f), named.search):
+        if some := [f for f in below if fits(f)]:
+            of_split = [f for f in some if split and re.search(rf"(^|[/_.-]){re.escape(split)}([/_.-]|$)", f)]
+            return [base + f for f in (of_split or some)]
+    return []
+
+
+def _assembled(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    text = F.trim(F.concat_ws(" ", F.nullif(F.trim("title"), F.lit("")), "text")).alias("text")
+    queries = queries.join(qrels.select(F.col("query_id").alias("_id")).distinct(), "_id", "left_semi")
+    if most is None:
+        return corpus.select("_id", text), queries, qrels
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place")  # rows of a block are read in order
+    corpus = corpus.select("_id", text, place)
+    judged = qrels.select(F.col("corpus_id").alias("_id")).distinct()
+    gold = corpus.join(judged, "_id", "left_semi").drop("place")
+    rest = corpus.join(judged, "_id", "left_anti").orderBy("place").limit(max(0, most - gold.count())).drop("place")
+    return gold.unionByName(rest), queries, qrels
+
+
+def read_beir_parquet(spark: SparkSession, root: str, split: str = "test", most: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As ``read_beir``, of a folder with Parquet files of the configurations ``corpus``, ``queries`` and ``qrels`` (or ``default``), wherever
+    ``find_parquet`` finds them. Columns may be called ``_id`` or ``id``, ``query-id`` or ``query_id``, and so on."""
+
+    def read(*configs: str, of: str | None = None) -> DataFrame:
+        files = next((f for c in configs if (f := find_parquet(spark, root, c, of))), None)
+        if files is None:
+            raise FileNotFoundError(f"no Parquet files of {' or '.join(configs)} in {root}")
+        return spark.read.parquet(*files)
+
+    def named(df: DataFrame, new: str, *old: str) -> F.Column:
+        found = next((c for c in (new, *old) if c in df.columns), None)
+        return (F.col(f"`{found}`") if found else F.lit(None)).cast("string").alias(new)
+
+    corpus, queries, qrels = read("corpus"), read("queries"), read("qrels", "default", of=split)
+    score = next(c for c in ("score", "relevance") if c in qrels.columns)
+    corpus = corpus.select(named(corpus, "_id", "id"), named(corpus, "title"), named(corpus, "text"), F.col("_metadata")) if most is not None else corpus.select(named(corpus, "_id", "id"), named(corpus, "title"), named(corpus, "text"))
+    return _assembled(corpus, queries.select(named(queries, "_id", "id"), named(queries, "text")), qrels.select(named(qrels, "query_id", "query-id"), named(qrels, "corpus_id", "corpus-id"), F.col(score).cast("double").alias("relevance")), most)
+
+
 def read_beir(spark: SparkSession, folder: str, split: str = "test", most: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(corpus, queries, qrels) of a BEIR folder of JSON lines. Document text is title and text; queries are those with judgements. ``most``: corpus
-    cap that keeps every judged document and fills up in the order of ids."""
-    doc = "_id string, title string, text string"
-    corpus = read_jsonl(spark, f"{folder}/corpus.jsonl", doc).select("_id", F.trim(F.concat_ws(" ", F.nullif(F.trim("title"), F.lit("")), "text")).alias("text"))
-    qrels = read_qrels(spark, f"{folder}/qrels/{split}.tsv")
-    queries = read_jsonl(spark, f"{folder}/queries.jsonl", "_id string, text string").join(qrels.select(F.col("query_id").alias("_id")).distinct(), "_id", "left_semi")
-    if most is not None:
-        judged = qrels.select(F.col("corpus_id").alias("_id")).distinct()
-        gold = corpus.join(judged, "_id", "left_semi")
-        corpus = gold.unionByName(corpus.join(judged, "_id", "left_anti").orderBy("_id").limit(max(0, most - gold.count())))
-    return corpus, queries, qrels
+    cap that keeps every judged document and fills up in the order of the files."""
+    corpus = read_jsonl(spark, f"{folder}/corpus.jsonl", "_id string, title string, text string")
+    queries = read_jsonl(spark, f"{folder}/queries.jsonl", "_id string, text string")
+    return _assembled(corpus, queries, read_qrels(spark, f"{folder}/qrels/{split}.tsv"), most)
 
 
 def write_beir(families: DataFrame, folder: str, gold_only: bool = False) -> None:
@@ -124,8 +192,42 @@ def paired_view(families: DataFrame) -> DataFrame:
     return families.select("query_id", "query", gold, F.explode(F.filter("candidates", lambda x: x["relevance"] <= 0)).alias("c")).select("query_id", "query", "gold", F.col("c.text").alias("negative"), F.col("c.role").alias("negative_type"))
 
 
-def append_jsonl(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
+def append_jsonl(rows: DataFrame, path: str, order: str | None = None) -> None:
+    """Appends rows; with ``order``, each gets a ``seq`` behind those that are there: a number per batch and the row's place in it."""
+    if order is None:
+        rows.write.mode("append").json(path)
+        return
+    spark = rows.sparkSession
+    last = spark.read.schema("seq bigint").json(path).agg(F.max("seq")).first()[0] if _exists(spark, path) else None
+    batch = 0 if last is None else (last >> 40) + 1
+    ranged = rows.repartitionByRange(order).sortWithinPartitions(order)
+    spread = F.spark_partition_id().cast("bigint") * (1 << 24) + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 24) - 1))  # ranges in order, rows in order
+    ranged.select(*rows.columns, (F.lit(batch << 40) + spread).alias("seq")).write.mode("append").json(path)
+
+
+def write_atomic(rows: DataFrame, path: str) -> None:
+    """Replaces a JSON folder: the new one is written beside it and takes its name once it is complete, so that a failed write leaves the old."""
+    spark = rows.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    rows.write.mode("overwrite").json(f"{path}.tmp")
+    if fs.exists(place(path)):
+        fs.delete(place(f"{path}.old"), True)
+        fs.rename(place(path), place(f"{path}.old"))
+    fs.rename(place(f"{path}.tmp"), place(path))
+    fs.delete(place(f"{path}.old"), True)
+
+
+def freeze(families: DataFrame, blockers: DataFrame, folder: str) -> DataFrame:
+    """Writes the frozen set, if no blocker is left: blind families (ids and texts alone), the complete ones, and the manifest of all files with
+    their hashes, which is returned. With blockers, they are written and nothing else."""
+    if blockers.take(1):
+        write_atomic(blockers, f"{folder}/blockers")
+        raise ValueError(f"blockers are left: {folder}/blockers")
+    blind = families.select("query_id", "query", F.transform("candidates", lambda c: F.struct(c["id"].alias("id"), c["text"].alias("text"))).alias("candidates"))
+    write_atomic(blind, f"{folder}/blind")
+    write_atomic(families, f"{folder}/internal")
+    return manifest(families.sparkSession, folder)
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
