@@ -77,7 +77,7 @@ def same_word(a, b):
     short = min(len(a), len(b))
     if a == b or a.isdigit() or b.isdigit() or short < 4 or abs(len(a) - len(b)) > 2:
         return a == b
-    return slips_between(a, b) <= (1 if short < 6 else 2)
+    return len(set(a) ^ set(b)) <= 4 and slips_between(a, b) <= (1 if short < 6 else 2)  # a slip changes at most two letters of the set
 
 
 def plain_agreement(a, b):
