@@ -128,7 +128,31 @@ where x.split is not null and y.split is not null and x.split <> y.split
 """
 
 
+#: Folded words of a text, plainly.
+_WORDS = "regexp_extract_all(strip_accents(lower(translate(regexp_replace(coalesce({}, ''), '[''’‘`´ʼ]', '', 'g'), 'Iİı', 'iii'))), '[a-z0-9]+')"
+#: All pairs of texts by all pairs of words. A word counts if any word of the other text is its partner, which is what a matching comes to where no two words of a text have the same partners.
+_AGREE = f"""
+with t as (select distinct _id, list_sort({_WORDS.format('text')}) as bag from queries where _id is not null),
+b as (select row_number() over (order by _id, bag) as b, _id, bag, len(bag) as n from t where len(bag) > 0),
+w as (select b, _id, n, unnest(bag) as word, generate_subscripts(bag, 1) as i from b),
+v as (select distinct word, length(word) as l, regexp_full_match(word, '[0-9]+') as digits from w),
+near as (select x.word as x, y.word as y from v x join v y on x.word = y.word or (abs(x.l - y.l) <= 2 and least(x.l, y.l) >= 4 and not x.digits and not y.digits and damerau_levenshtein(x.word, y.word) <= case when least(x.l, y.l) < 6 then 1 else 2 end)),
+met as (select p.b as a, q.b as b, p._id as id_a, q._id as id_b, p.n as na, q.n as nb, p.i as i, q.i as j from w p join near on x = p.word join w q on q.word = y where p._id < q._id),
+pairs as (select distinct id_a, id_b from (select a, b, id_a, id_b, na, nb, count(distinct i) as ca, count(distinct j) as cb from met group by all) where least(ca, cb) >= ceil(0.7 * greatest(na, nb) - 1e-9))
+"""
+_P4 = _AGREE + """, side as (select family_id, max(case lower(trim(regexp_replace(split_name, '[ -]+', '_', 'g'))) when 'train' then 't' when 'development' then 'e' when 'dev' then 'e' when 'sealed_test' then 'e' when 'test' then 'e' end) as side from families group by 1)
+select id_a, id_b from pairs join side x on x.family_id = id_a join side y on y.family_id = id_b where x.side <> y.side"""
+_P8 = f"""
+with d as (select doc_id, {_WORDS.format('text')} as w from documents),
+p as (select doc_id, w, unnest(range(1, len(w) - 3)) as i from d where len(w) >= 5),
+keys as (select doc_id, i, 5 as size, '5 ' || array_to_string(w[i:i+4], ' ') as key from p where i + 4 <= len(w)
+  union all select doc_id, i, 8, k || ' ' || array_to_string(list_concat(w[i:i+k-1], w[i+k+1:i+7]), ' ') from p, range(0, 8) r(k) where i + 7 <= len(w)),
+again as (select distinct doc_id, i, size from (select *, min(i) over (partition by doc_id, size, key) as first from keys) where i > first),
+marked as (select doc_id, count(distinct place) as n from (select doc_id, unnest(range(i, i + size)) as place from again) group by 1)
+select doc_id from marked join d using (doc_id) where n >= 0.3 * len(w)"""
+
+
 def oracle_sql() -> dict[str, str]:
     axes = ("target_feature", "domain", "generalization_bucket", "generator_id")
     have = " union all ".join(f"select '{a}' as axis, {_KEY.format(a)} as k, count(distinct slot_id) as supply from slots where slot_id is not null group by 2" for a in axes)
-    return {"p3_found": _P3.format(have=have, key=_KEY.format("q.category")), "p5_found": _P5.replace("\\\\", "\\")}
+    return {"p3_found": _P3.format(have=have, key=_KEY.format("q.category")), "p5_found": _P5.replace("\\\\", "\\"), "p1_found": _AGREE + "select id_a, id_b from pairs", "p4_found": _P4, "p8_found": _P8}
