@@ -56,7 +56,9 @@ def tx_tokens(s):
     return re.findall("[a-zçğıöşü0-9]+", (s or "").replace("İ", "i").replace("I", "ı").lower())
 
 
-def test_bm25_against_brute_force(spark):
+@pytest.mark.parametrize("block", [200_000, 1])
+def test_bm25_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(rank, "TERM_BLOCK", block)  # of one term, queries are joined by shuffle
     docs = ["ev ev bahçe", "bahçe kapısı", "", None, "ev " * 50, "uzak köy yolu"]
     qs = ["ev bahçe", "ev ev", "", "hiç", None]
     d = spark.createDataFrame(list(enumerate(docs)), "did int, text string")
@@ -64,6 +66,9 @@ def test_bm25_against_brute_force(spark):
     got = {(r["qid"], r["did"]): r["score"] for r in rank.bm25(q, d, 10).collect()}
     want = {(i, j): round(s, 6) for i, t in enumerate(qs) for j, s in enumerate(bm25(t, docs)) if s > 0}
     assert got == pytest.approx(want)
+    one = [(r["did"], r["rank"]) for r in rank.bm25(q.where("qid = 1"), d.unionByName(d.where("did = 0").select(F.lit(9).alias("did"), "text")), 2).orderBy("rank").collect()]
+    assert one == [(4, 1), (0, 2)]  # of equal scores the lesser id
+    assert rank.bm25(q.limit(0), d, 3).count() == rank.bm25(q, d.limit(0), 3).count() == 0
     p = d.select(F.lit("p").alias("pool"), F.col("did").alias("cid"), F.lit("ev bahçe").alias("query"), "text")
     assert {r["cid"]: r["bm25"] for r in rank.pool_bm25(p).collect()} == pytest.approx(dict(enumerate(bm25("ev bahçe", docs))))
 
@@ -144,3 +149,13 @@ def test_quotas(spark):
 def test_similarity_of_ngrams_column(spark):
     df = spark.createDataFrame([("abc", "abd")], "a string, b string")
     assert df.select(tx.jaccard(tx.char_ngrams("a"), tx.char_ngrams("b"))).first()[0] == 0.0
+
+
+def test_first_rows_and_running_numbers(spark):
+    rows = [(i, None if i % 5 == 0 else "hot" if i % 3 else "b") for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, g string").repartition(5)
+    got = {(r["g"], r["id"], r["place"]) for r in rank.first_rows(df, ["g"], ["id"], 3).collect()}
+    by = {g: [i for i, x in rows if x == g] for g in (None, "hot", "b")}
+    assert got == {(g, i, k + 1) for g, v in by.items() for k, i in enumerate(v[:3])}
+    got = {(r["g"], r["id"], r["n"]) for r in rank.running_number(df, "g", "id", "n", 64).collect()}
+    assert got == {(g, i, k + 1) for g, v in by.items() for k, i in enumerate(v)}

@@ -10,15 +10,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tezgah.functions import text as tx
 from tezgah.session import written
 
 K1, B = 1.2, 0.75
 #: Query terms, and query vectors, held in memory at once; more are searched in blocks.
-TERM_BLOCK, VECTOR_BLOCK = 200_000, 4096
+TERM_BLOCK, ASKED_BLOCK, VECTOR_BLOCK = 200_000, 2_000_000, 4096
 
 
 def top(scores: DataFrame, by: list[str], score: str, ids: list[str], k: int) -> DataFrame:
@@ -29,21 +31,90 @@ def top(scores: DataFrame, by: list[str], score: str, ids: list[str], k: int) ->
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
     """``queries``: ``qid, text``; ``docs``: ``did, text``. Top ``k`` documents per query with a positive score:
-    ``qid, did, score, rank``. Only postings of query terms leave the scan; a repeated query term adds repeatedly."""
+    ``qid, did, score, rank``. A repeated query term adds repeatedly. Documents are tokenised once; up to ``TERM_BLOCK`` different query terms go to
+    the tasks, which score their documents themselves and send their ``k`` best per query on; beyond that, or beyond
+    ``ASKED_BLOCK`` terms of all queries together, postings and terms are joined by shuffle."""
     q = queries.select("qid", F.explode(tx.tokens("text")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
     terms = written(q, "terms")
     d = docs.select("did", tx.tokens(F.coalesce("text", F.lit(""))).alias("t"))
-    vocabulary = terms.select("term").distinct()
-    small = vocabulary.count() <= TERM_BLOCK  # larger ones are joined by shuffle
-    posting = d.select("did", F.size("t").alias("len"), F.explode("t").alias("term")).join(F.broadcast(vocabulary) if small else vocabulary, "term", "left_semi")
+    vocabulary = [r[0] for r in terms.select("term").distinct().orderBy("term").limit(TERM_BLOCK + 1).collect()]
+    if len(vocabulary) > TERM_BLOCK or terms.count() > ASKED_BLOCK:
+        return top(_bm25_joined(terms, d), ["qid"], "score", ["did"], k)
+    kind = docs.schema["did"].dataType.simpleString()
+    held = written(d.mapInArrow(_counted(vocabulary), f"did {kind}, len int, term array<int>, f array<int>"), "postings")
+    n, total = held.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+    df = np.zeros(max(1, len(vocabulary)))
+    for r in held.select(F.explode("term").alias("term")).groupBy("term").count().collect():  # a row per term
+        df[r[0]] = r[1]
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    place, asked = {t: i for i, t in enumerate(vocabulary)}, terms.collect()  # at most ASKED_BLOCK rows
+    qids = sorted({r["qid"] for r in asked})
+    at = {x: i for i, x in enumerate(qids)}
+    rows = sorted((place[r["term"]], at[r["qid"]], float(r["times"])) for r in asked)
+    term, query, times = (np.array([r[i] for r in rows]) for i in range(3)) if rows else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    begin = np.searchsorted(term, np.arange(len(vocabulary) + 1))
+    shared = docs.sparkSession.sparkContext.broadcast((begin, query, times * idf[term], total / max(1.0, n), len(qids)))
+    best = held.mapInArrow(_scored(shared, k), f"q int, did {kind}, score double")
+    names = F.broadcast(docs.sparkSession.createDataFrame(list(enumerate(qids)), T.StructType([T.StructField("q", T.IntegerType()), T.StructField("qid", queries.schema["qid"].dataType)])))
+    return top(best.join(names, "q").select("qid", "did", F.round("score", 6).alias("score")), ["qid"], "score", ["did"], k)
+
+
+def _counted(vocabulary: list[str]):
+    """Tokens of documents as term numbers and counts; terms outside the vocabulary count for the length only."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(vocabulary, pa.string())
+        for b in batches:
+            t = b.column("t")
+            size = np.asarray(t.value_lengths().to_numpy(zero_copy_only=False), np.int64)
+            number = pa.compute.index_in(t.flatten(), value_set=known)
+            number = pa.compute.fill_null(number, -1).to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(len(size)), size)[number >= 0]
+            key, f = np.unique(doc * max(1, len(vocabulary)) + number[number >= 0], return_counts=True)
+            doc, number = np.divmod(key, max(1, len(vocabulary)))
+            first = pa.array(np.searchsorted(doc, np.arange(len(size) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(first, pa.array(x.astype(np.int32))) for x in (number, f)]
+            yield pa.RecordBatch.from_arrays([b.column("did"), pa.array(size.astype(np.int32)), *lists], names=["did", "len", "term", "f"])
+
+    return count
+
+
+def _scored(shared, k: int, cells: int = 4_000_000):
+    """The ``k`` best documents per query of some documents at a time."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin, query, weight, average, queries = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, step := max(1, cells // max(1, queries))):
+                b = batch.slice(at, step)
+                size = np.asarray(b.column("term").value_lengths().to_numpy(zero_copy_only=False), np.int64)
+                doc = np.repeat(np.arange(len(size)), size)
+                term, f = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("term", "f"))
+                part = f * (K1 + 1) / (f + K1 * (1 - B + B * b.column("len").to_numpy(zero_copy_only=False)[doc] / max(1.0, average)))
+                times = begin[term + 1] - begin[term]
+                j = np.arange(times.sum()) + np.repeat(begin[term] - (np.cumsum(times) - times), times)
+                cell = query[j] * len(size) + np.repeat(doc, times)
+                total = np.round(np.bincount(cell, weights=weight[j] * np.repeat(part, times), minlength=queries * len(size)), 6).reshape(queries, len(size))
+                did = b.column("did").to_numpy(zero_copy_only=False)
+                q, c = np.nonzero((total > 0) & (total >= np.partition(total, -k, axis=1)[:, -k][:, None] if total.shape[1] > k else total > 0))
+                order = np.lexsort((did[c].astype(str) if did.dtype == object else did[c], -total[q, c], q))
+                q, c = q[order], c[order]
+                keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+                q, c = q[keep], c[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), b.column("did").take(pa.array(c)), pa.array(total[q, c])], names=["q", "did", "score"])
+
+    return score
+
+
+def _bm25_joined(terms: DataFrame, d: DataFrame) -> DataFrame:
+    d = written(d, "tokens")
+    posting = d.select("did", F.size("t").alias("len"), F.explode("t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
     tf = written(posting.groupBy("did", "term").agg(F.count("*").alias("f"), F.first("len").alias("len")), "tf")
-    size = docs.select(F.size(tx.tokens(F.coalesce("text", F.lit("")))).alias("len")).agg(F.count("*").cast("double").alias("n"), F.sum("len").cast("double").alias("total"))
+    size = d.agg(F.count("*").cast("double").alias("n"), F.sum(F.size("t")).cast("double").alias("total"))
     df = tf.groupBy("term").agg(F.count("*").cast("double").alias("df")).crossJoin(F.broadcast(size))
     idf = df.select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), (F.col("total") / F.greatest(F.lit(1.0), "n")).alias("avg"))
-    weighed = terms.join(idf, "term")
     part = F.col("times") * F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.greatest(F.lit(1.0), "avg")))
-    scores = tf.join(F.broadcast(weighed) if small else weighed, "term").groupBy("qid", "did").agg(F.round(F.sum(part), 6).alias("score"))
-    return top(scores, ["qid"], "score", ["did"], k)
+    return tf.join(terms.join(idf, "term"), "term").groupBy("qid", "did").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def pool_bm25(pools: DataFrame) -> DataFrame:
