@@ -272,7 +272,9 @@ def union_find(edges):
     return {frozenset(v) for v in out.values()}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [50_000, 0])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL", small)  # at 0, colliding labels are merged by frontiers alone
     r = random.Random(7)
     path = [(i, i + 1) for i in range(300)]
     star = [(1000, 1001 + i) for i in range(300)]
