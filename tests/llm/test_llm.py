@@ -203,6 +203,23 @@ def test_groups_of_a_hot_class(spark, vocabulary):
     assert all(group[a] == group[b] for a, b in links)
 
 
+@pytest.fixture
+def small_driver(spark):
+    """No table of more than two megabytes may be broadcast, whatever Spark takes its size for (a hash table has one at least)."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "2000000")
+    yield
+    spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def test_near_duplicates_broadcast_no_table_that_grows(spark, vocabulary, small_driver):
+    r = random.Random(34)
+    long = [(f"l{k}", " ".join("".join(r.choice("abcdefghijklmnoprstuvyz") for _ in range(20)) for _ in range(60))) for k in range(10)]
+    rows = records(vocabulary, 60, 11) + long  # a word of 20 letters has 211 rests
+    df = spark.createDataFrame(rows, "id string, text string")
+    assert {(x["id_a"], x["id_b"]) for x in near_dup.near_duplicates(df).collect()} == brute_pairs(rows)
+    assert near_dup.near_duplicate_groups(df).count() == len(rows)
+
+
 def test_agreement():
     f = near_dup.agreement
     assert f("a b c d".split(), "d c b a".split()) == 1 and f(["ev", "ev"], ["ev"]) == 0.5
