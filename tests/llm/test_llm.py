@@ -268,6 +268,18 @@ def test_frequent_words_and_slips_across_splits(spark):
     assert {tuple(sorted((x["train_id"], x["eval_id"]))) for x in chunks.split_overlaps(q, fam).collect()} == want and {(f"a{k}", f"b{k}") for k in range(30)} <= want
 
 
+def test_overlaps_broadcast_no_table_that_grows(spark, small_driver, tmp_path):
+    """Files of a few hundred kilobytes whose rows are megabytes; every text has words of its own, but for ten and their copies."""
+    n = [F.col("id") * 3 + k for k in range(1_000_000, 1_000_003)]
+    x = spark.range(30_000).select("id", F.format_string("t%05d", "id").alias("family_id"), F.lit("train").alias("split_name"), F.concat_ws(" ", *n).alias("text"))
+    y = spark.range(7, 30_000, 3000).select("id", F.format_string("d%05d", "id").alias("family_id"), F.lit("dev").alias("split_name"), F.concat_ws(" ", *n[::-1]).alias("text"))
+    x.unionByName(y).withColumn("source_dataset", F.lit("src")).write.parquet(f"{tmp_path}/x")
+    rows = spark.read.parquet(f"{tmp_path}/x")
+    got = {(p["train_id"], p["eval_id"]) for p in chunks.split_overlaps(rows.select(F.col("family_id").alias("_id"), "text"), rows).collect()}
+    assert got == {(f"t{k:05}", f"d{k:05}") for k in range(7, 30_000, 3000)}
+    assert [tuple(p)[2:4] for p in chunks.overlap_report(rows.select(F.col("family_id").alias("_id"), "text"), rows).collect()] == [(10, 10)]
+
+
 # ------------------------------------------------------------------ components and splits
 
 
