@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 from collections import Counter, defaultdict
 from functools import lru_cache
 
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tezgah.llm import chunks, components, leak, near_dup, packing, quota, repetition, words
+from tezgah.session import written
 
 SYL = "ba be bi bo çu de dı fa ge gö ha hı ka ke ko la lu ma me mo na pe ra ri sa şi ta te tu va ve ya yo yü".split()
 
@@ -643,3 +645,36 @@ def test_an_item_of_many_words(spark):
     d = spark.createDataFrame([(1, text), (2, " ".join(text.split()[:3500]) + " son"), (3, " ".join(reversed(text.split())))], "doc_id bigint, text string")
     it = spark.createDataFrame([(7, text)], "item_id bigint, text string")
     assert {x["doc_id"] for x in leak.leaks(d, it).collect()} == {1, 2}
+
+
+def shuffle_bytes(spark) -> int:
+    """Shuffle files on the disk, once those of finished writes are gone."""
+    time.sleep(2)
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+    return sum(f.length() for f in iter(lambda: files.next() if files.hasNext() else None, None) if f.getName().startswith("shuffle_"))
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    before = shuffle_bytes(spark)
+    x = written(spark.range(300_000).groupBy(F.xxhash64("id").alias("h")).count(), "t")
+    assert x.count() == 300_000 and shuffle_bytes(spark) < before + 100_000
+
+
+def test_passes_find_the_same_pairs_with_less_disk(spark, vocabulary, monkeypatch):
+    rows = records(vocabulary, 300, 12)
+    df = spark.createDataFrame(rows, "id string, text string")
+    want = brute_pairs(rows)
+    for k in ("WORDS_AT_ONCE", "ENTRIES_AT_ONCE", "KEYS_AT_ONCE", "PAIRS_AT_ONCE"):
+        monkeypatch.setattr(near_dup, k, 150)
+    monkeypatch.setattr(near_dup, "PASSES", 3)
+    assert sorted((x["id_a"], x["id_b"]) for x in near_dup.near_duplicates(df).collect()) == sorted(want)
+
+
+def test_pairs_of_copies_are_not_shuffled(spark):
+    """Half a million pairs of records of one text; the ids with two texts give each pair once, too."""
+    rows = [(f"copy{k:04}", "kargo bugün geldi ama kutu kırık çıktı") for k in range(1000)] + [("copy0001", "kargo bugün geldi ama kutu ezik çıktı"), ("copy0002", "kargo bugün geldi ama kutu ezik çıktı")]
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "id string, text string"))
+    before = shuffle_bytes(spark)
+    got = found.groupBy().agg(F.count("*").alias("n"), F.count_if(F.col("id_a") < F.col("id_b")).alias("ok")).first()
+    assert got["n"] == got["ok"] == 499_500
+    assert shuffle_bytes(spark) < before + 500_000
