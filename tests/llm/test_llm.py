@@ -678,3 +678,23 @@ def test_pairs_of_copies_are_not_shuffled(spark):
     got = found.groupBy().agg(F.count("*").alias("n"), F.count_if(F.col("id_a") < F.col("id_b")).alias("ok")).first()
     assert got["n"] == got["ok"] == 499_500
     assert shuffle_bytes(spark) < before + 500_000
+
+
+def test_overlaps_in_passes_and_of_copies(spark, vocabulary, monkeypatch):
+    """A quarter of a million pairs of copies are not shuffled; passes find what one pass finds; an id with two texts gives a pair once."""
+    rows = [(i, t) for i, t in records(vocabulary, 300, 13) if t]
+    rows += [(f"copy{k:04}", "kargo bugün geldi ama kutu kırık çıktı") for k in range(1000)] + [(f"copy{k:04}", "kargo bugün geldi ama kutu ezik çıktı") for k in (1, 2)]
+    q = spark.createDataFrame(rows, "_id string, text string")
+    fam = spark.createDataFrame([(i, "train" if k % 2 else "dev", "s") for k, i in enumerate(sorted({i for i, _ in rows}))], "family_id string, split_name string, source_dataset string")
+    train = {i for k, i in enumerate(sorted({i for i, _ in rows})) if k % 2}
+    want = {tuple(sorted(p)) for p in brute_pairs([x for x in rows if x[0][:4] != "copy"]) if len(train & set(p)) == 1}
+    for k in ("WORDS_AT_ONCE", "ENTRIES_AT_ONCE", "KEYS_AT_ONCE", "PAIRS_AT_ONCE"):
+        monkeypatch.setattr(near_dup, k, 150)
+    monkeypatch.setattr(near_dup, "PASSES", 3)
+    found = chunks.split_overlaps(q, fam)
+    before = shuffle_bytes(spark)
+    got = found.groupBy(F.left("train_id", F.lit(4)) == "copy").count().collect()
+    assert shuffle_bytes(spark) < before + 500_000
+    assert dict(map(tuple, got)) == {True: 250_000, False: len(want)}
+    pairs = [tuple(sorted((x["train_id"], x["eval_id"]))) for x in found.where("train_id not like 'copy%'").collect()]
+    assert len(want) > 5 and sorted(pairs) == sorted(want)
