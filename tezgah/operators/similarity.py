@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tezgah.functions import text as tx
-from tezgah.session import written
+from tezgah.session import written, written_parts
 
 
 def duplicate_groups(records: DataFrame, text: str = "text", key: str = "id", group: str = "family") -> DataFrame:
@@ -19,7 +19,10 @@ def duplicate_groups(records: DataFrame, text: str = "text", key: str = "id", gr
     return x.groupBy(F.sha2("n", 256).alias("text_key")).agg(F.countDistinct(key).alias("records"), F.countDistinct(group).alias("groups"), F.min(key).alias("first_record")).where("records > 1")
 
 
-SIGNATURE = 4
+#: Words of 64 bits: with fewer, sets of two hundred grams fill the signature, and most pairs that meet pass.
+SIGNATURE = 8
+#: Rows of a pass of the join, and the most passes.
+ROWS_AT_ONCE, PAIRS_AT_ONCE, PASSES = 2_000_000, 200_000, 16
 
 
 def _signed(sets: DataFrame) -> DataFrame:
@@ -42,20 +45,35 @@ def _prefix(sets: DataFrame, frequency: DataFrame, threshold: float) -> DataFram
 def jaccard_join(left: DataFrame, right: DataFrame | None, threshold: float) -> DataFrame:
     """Pairs of sets with a Jaccard similarity above ``threshold``, exactly. ``left``, ``right``: ``id, grams`` (distinct elements, unique ids).
     Without ``right`` a self-join with ``a < b``. Gives ``a, b, similarity``. Empty and null sets match nothing. Pairs that meet are
-    first compared by their signatures: sets that are similar enough differ in at most (1 - t) / (1 + t) of their elements."""
+    first compared by their signatures: sets that are similar enough differ in at most (1 - t) / (1 + t) of their elements. Joins go over parts
+    of the grams and of the pairs, all in turn: the shuffle files of a part are gone before the next."""
     left = written(_signed(left), "sets")
     same = right is None
     right = left if same else written(_signed(right), "sets")
     every = left if same else left.select("grams").unionByName(right.select("grams"))
     frequency = written(every.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")), "df")
     named = lambda x, p: x.select("gram", *[F.col(c).alias(p + c) for c in x.columns if c != "gram"])
-    p, q = named(_prefix(left, frequency, threshold), "l_"), named(_prefix(right, frequency, threshold), "r_")
+    prefix = written(_prefix(left, frequency, threshold), "prefix")
+    p, q = named(prefix, "l_"), named(prefix if same else written(_prefix(right, frequency, threshold), "prefix"), "r_")
     m, n = F.col("l_size"), F.col("r_size")
     differ = sum((F.bit_count(F.col(f"l_s{k}").bitwiseXOR(F.col(f"r_s{k}"))) for k in range(SIGNATURE)), F.lit(0))
-    met = p.join(q, "gram").where((m >= threshold * n) & (n >= threshold * m) & (differ <= (1 - threshold) / (1 + threshold) * (m + n) + 1e-9))
-    pairs = (met.where("l_id < r_id") if same else met).select(F.col("l_id").alias("a"), F.col("r_id").alias("b")).distinct()
-    x = pairs.join(left.select(F.col("id").alias("a"), F.col("grams").alias("g")), "a").join(right.select(F.col("id").alias("b"), F.col("grams").alias("h")), "b")
-    return x.select("a", "b", tx.jaccard("g", "h").alias("similarity")).where(F.col("similarity") > threshold)
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        z = x.join(y.hint("merge"), "gram").where((m >= threshold * n) & (n >= threshold * m) & (differ <= (1 - threshold) / (1 + threshold) * (m + n) + 1e-9))
+        return (z.where("l_id < r_id") if same else z).select(F.col("l_id").alias("a"), F.col("r_id").alias("b")).distinct()
+
+    def checked(x: DataFrame) -> DataFrame:
+        g, h = left.select(F.col("id").alias("a"), F.col("grams").alias("g")), right.select(F.col("id").alias("b"), F.col("grams").alias("h"))
+        z = x.join(g.hint("merge"), "a").join(h.hint("merge"), "b")
+        return z.select("a", "b", tx.jaccard("g", "h").alias("similarity")).where(F.col("similarity") > threshold)
+
+    part = lambda x, c, k, of: x.where(F.pmod(F.xxhash64(c), F.lit(of)) == k) if of > 1 else x
+    of = min(PASSES, 1 + (p.count() + q.count()) // ROWS_AT_ONCE)
+    pairs = written_parts((met(part(p, "gram", k, of), part(q, "gram", k, of)) for k in range(of)), "met")
+    if of > 1:
+        pairs = written(pairs.distinct(), "pairs")
+    some = min(PASSES, 1 + pairs.count() // PAIRS_AT_ONCE)
+    return written_parts((checked(part(pairs, "a", k, some)) for k in range(some)), "similar")
 
 
 def shingle_pairs(records: DataFrame, threshold: float, width: int = 5, most: int | None = None) -> DataFrame:
